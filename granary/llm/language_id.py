@@ -94,7 +94,7 @@ class Centroids:
         return out
 
 
-def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.5, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
+def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.35, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
     """Centroids from rows with a language. Document frequencies count all rows; centroids and floors are fitted on about `sample` rows a language, chosen by a hash (twice as many at most).
 
     The floor for texts of a length (log2 of the number of n-grams) is `slack` times the lowest hundredth of the cosines that

@@ -94,7 +94,7 @@ class Fertility:
                 self.known.clear()
                 new = list(words)
             cut = [w if len(w) <= CUT else "" for w in new]
-            for w, p, r in zip(new, self.sp.encode(cut, num_threads=1), self.bpe.encode_ordinary_batch([" " + c for c in cut], num_threads=1), strict=True):
+            for w, p, r in zip(new, self.sp.encode(cut, num_threads=1), (self.bpe.encode_ordinary(" " + c) for c in cut), strict=True):
                 if len(w) > CUT:
                     parts = [w[i : i + CUT] for i in range(0, len(w), CUT)]
                     p, r = sum(self.sp.encode(parts, num_threads=1), []), [x for c in parts for x in self.bpe.encode_ordinary(c)]

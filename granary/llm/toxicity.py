@@ -40,10 +40,17 @@ class SentenceModel:
         return -math.expm1(-total), n, found
 
 
-def _train(texts: list[str], toxic: np.ndarray, min_docs: int, rounds: int, decay: float) -> SentenceModel:
+def _train(texts: list[str], toxic: np.ndarray, min_docs: int, rounds: int, decay: float, least_z: float, rate: float = 1.0) -> SentenceModel:
     split = [[sorted(set(WORD.findall(s.lower()))) for s in SENTENCE.findall(t)] for t in texts]
-    df = Counter(w for doc in split for w in {w for s in doc for w in s})
-    vocabulary = sorted(w for w, n in df.items() if n >= min_docs)
+    distinct = [{w for s in doc for w in s} for doc in split]
+    df, bad = Counter(w for d in distinct for w in d), Counter(w for d, t in zip(distinct, toxic, strict=True) if t for w in d)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+
+    def telling(w: str) -> bool:
+        a, b = bad[w] + 0.5, df[w] - bad[w] + 0.5
+        return abs(math.log(a / (n1 + 1) * (n0 + 1) / b)) >= least_z * math.sqrt(1 / a + 1 / b)
+
+    vocabulary = sorted(w for w, n in df.items() if n >= min_docs and telling(w))
     at = {w: i for i, w in enumerate(vocabulary)}
     word, sentence, doc = [], [], []
     for d, sentences in enumerate(split):
@@ -63,13 +70,15 @@ def _train(texts: list[str], toxic: np.ndarray, min_docs: int, rounds: int, deca
         g = pull[doc] * p
         dw, db = np.bincount(word, weights=g[sentence], minlength=len(w)) - decay * w, g.sum() - decay * (b + 6)
         gw, gb = gw + dw * dw, gb + db * db
-        w, b = w + 0.3 * dw / np.sqrt(gw), b + 0.3 * db / math.sqrt(gb)
+        w, b = w + rate * dw / np.sqrt(gw), b + rate * db / math.sqrt(gb)
     return SentenceModel(float(b), {v: float(x) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 0.05})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, max_chars: int = 200_000, min_docs: int = 4, rounds: int = 150, decay: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SentenceModel:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, max_chars: int = 200_000, min_docs: int = 5, least_z: float = 3.0, rounds: int = 150, decay: float = 0.02, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> SentenceModel:
     """Trains on at most `sample` labelled documents of at most `max_chars` code points, chosen by a hash of the id; both bounds are only for training.
 
+    Words count that `min_docs` of these have and whose log odds ratio between the classes is `least_z` standard errors from 0.
+
     The labels are a bounded set once chosen, so they are broadcast to find the texts. An id with several labels counts as
     toxic if one says so; of several texts with an id the largest is taken. Without both classes nothing scores over one half.
     """
@@ -80,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, max_chars: int =
     toxic = np.array([r[2] > 0 for r in rows], bool)
     if not toxic.any() or toxic.all():
         return SentenceModel(-6.0, {})
-    return _train([r[1] for r in rows], toxic, min_docs, rounds, decay)
+    return _train([r[1] for r in rows], toxic, min_docs, rounds, decay, least_z)
 
 
 def score(docs: DataFrame, model: SentenceModel, text_col: str = "text") -> DataFrame:
