@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.shingles import PLAIN, _mix, word_hashes
+from granary.llm.shingles import PLAIN, each_words, mix, word_hashes
 
 #: Places of the embedding that make a key, and most repetitions.
 SAMPLED, MOST_REPEATS = 3, 64
@@ -61,7 +61,7 @@ class Walk:
         for j in range(max(self.places) + 1):
             symbol = windows[row, at]
             if j in self.places:
-                key = _mix(key * np.uint64(31) + symbol)
+                key = mix(key * np.uint64(31) + symbol)
             at = np.minimum(at + (((symbol ^ self.turns[j]) * _C) >> np.uint64(63)).astype(np.int64), windows.shape[1] - 1)
         return key
 
@@ -151,7 +151,7 @@ def build_index(rows: list[tuple[int, str]], share: float, recall: float) -> Ind
 def _grams(w: np.ndarray, g: int) -> np.ndarray:
     h = np.zeros(max(0, len(w) - g + 1), np.uint64)
     for k in range(g):
-        h = _mix(h * _C + w[k : len(w) - g + 1 + k]) if len(h) else h
+        h = mix(h * _C + w[k : len(w) - g + 1 + k]) if len(h) else h
     return h
 
 
@@ -162,7 +162,7 @@ def _seen(h: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return at[keys[k] == h[at]]
 
 
-def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
+def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first word, end, edit distance) for each text and each item that it holds: the item's best place of those met first."""
     flags = {}
     for g, (keys, _, _) in index.grams.items():
@@ -171,8 +171,7 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, i
     docs: dict[int, np.ndarray] = {}
     starts: list[np.ndarray] = []  # row, window start, window size
     size_of = np.array([window_size(len(w)) for w in index.items], np.int64)
-    for row, text in enumerate(texts):
-        w = words(text)
+    for row, w in enumerate(each_words(texts, PLAIN)):
         for g, (keys, item, place) in index.grams.items():
             h = _grams(w, g)
             at = _seen(h, keys, flags[g])
@@ -235,11 +234,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: flo
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                hits = search(texts, shared.value)
+                ids, hits = batch.column(0), search(batch.column(1), shared.value)
                 if hits:
                     cols = list(zip(*hits, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in cols[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "first_word", "end_word", "distance"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "first_word", "end_word", "distance"])
 
         part = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(found, "doc_id long, item_id long, first_word long, end_word long, distance long")
         out = part if out is None else out.union(part)

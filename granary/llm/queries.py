@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, html_text, language_id, quality, toxicity
-from granary.llm.common import id_crc, table
+from granary.llm import decontamination, html_text, language_id, pii, quality, toxicity, warc
+from granary.llm.common import id_crc, scratch, table
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.mixing import mix
 from granary.llm.ngram_join import ngram_components
@@ -19,6 +19,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").cast("long").alias("n_toxic_sentences"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages"), scratch(spark, "archives")
+    warc.archive(pages, folder)
+    found = warc.find_captures(warc.keys_of(pages), f"{folder}/index")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +40,13 @@ def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = pii.find(docs, pii.fit(docs))
+    counts = [pii.count_of(F.col("pii_base"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return d.select("doc_id", *counts, F.sha2(pii.as_text(F.col("pii_base")), 256).alias("base_sha256"), pii.as_text(F.col("pii_spans")).alias("spans"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
@@ -51,11 +65,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_line_dedup, op5_quality_fertility, op7_html_main_text, op8_language_id, op9_mixing, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_index, op3_decontamination, op4_line_dedup, op5_quality_fertility, op6_pii, op7_html_main_text, op8_language_id, op9_mixing, op10_ngram_join)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES = {
+    "op2_warc_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+q AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS top
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM q""",
     "op4_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
