@@ -46,7 +46,7 @@ def case(target: Column, branches: list[tuple[Column, Column]], default: Column)
 
 def metadata(comment: Column) -> Column:
     """@KEY: value lines of a comment as a map; a backslash at a line's end continues it, and the last of equal keys counts."""
-    lines = F.regexp_extract_all(F.regexp_replace(comment, r"\\\n\s*", " "), F.lit(r"(?m)^\s*@\w+:[^\n]*"), F.lit(0))
+    lines = F.regexp_extract_all(F.regexp_replace(comment, r"\s*\\\n\s*", " "), F.lit(r"(?m)^\s*@\w+:[^\n]*"), F.lit(0))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"@(\w+):", 1).alias("key"), F.trim(F.regexp_extract(x, r":([^\n]*)", 1)).alias("value")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]
