@@ -814,6 +814,18 @@ def q_insert_literals(t):
     return sinks.insert_batches(t.supplier.withColumn("s_acctbal", F.lit(None).cast("double")), "supplier", ["s_suppkey"], 1).select("statement")
 
 
+_PLAN_NEW = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 31 = 0 THEN 'it''s' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 97 <> 0"
+
+
+@query(f"""WITH new AS ({_PLAN_NEW})
+SELECT o.o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'DELETE FROM orders WHERE o_orderkey = ' || o.o_orderkey || ';' ELSE 'UPDATE orders SET o_orderstatus = ''it''''s'' WHERE o_orderkey = ' || o.o_orderkey || ';' END AS statement
+FROM orders o LEFT JOIN new n ON o.o_orderkey = n.o_orderkey WHERE n.o_orderkey IS NULL OR n.o_orderstatus <> o.o_orderstatus""")
+def q_change_statements(t):
+    old = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    new = old.filter("o_orderkey % 97 <> 0").withColumn("o_orderstatus", F.when(c("o_orderkey") % 31 == 0, "it's").otherwise(c("o_orderstatus")))
+    return sinks.change_statements(rowdiff.diff(old, new, ["o_orderkey"]), "orders", ["o_orderkey"]).select("o_orderkey", "statement")
+
+
 @query("""SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders""")
 def q_json_rows(t):
     return sinks.json_rows(t.orders.select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("nothing")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,3 +50,36 @@ def json_rows(df: DataFrame) -> DataFrame:
 def write_by_key(df: DataFrame, path: str, key: str, form: str = "json") -> None:
     """Fan-out: a folder for each value of the key."""
     df.write.partitionBy(key).format(form).save(path)
+
+
+def change_statements(changes: DataFrame, name: str, key: Sequence[str], dialect: str = "ansi") -> DataFrame:
+    """(op, key columns, statement): an INSERT, UPDATE or DELETE for each row of what rowdiff.diff gives. Updates set the changed columns."""
+    kinds = dict(zip(changes.columns, (f.dataType for f in changes.schema.fields), strict=True))
+    fields = kinds["new"].fields if isinstance(kinds["new"], T.StructType) else []
+    value = lambda f: literal(F.col("new")[f.name], f.dataType, dialect)
+    at = [F.when(F.col(k).isNull(), f"{k} IS NULL").otherwise(F.concat(F.lit(f"{k} = "), literal(F.col(k), kinds[k], dialect))) for k in key]
+    where = F.concat(F.lit(" WHERE "), F.concat_ws(" AND ", *at))
+    names, row = [*key, *(f.name for f in fields)], [*(literal(F.col(k), kinds[k], dialect) for k in key), *map(value, fields)]
+    put = F.concat(F.lit(f"INSERT INTO {name} ({', '.join(names)}) VALUES ("), F.concat_ws(", ", *row), F.lit(")"))
+    sets = F.concat_ws(", ", *(F.when(F.array_contains("changed", f.name), F.concat(F.lit(f"{f.name} = "), value(f))) for f in fields))
+    text = F.when(F.col("op") == "INSERT", put).when(F.col("op") == "DELETE", F.concat(F.lit(f"DELETE FROM {name}"), where)).otherwise(F.concat(F.lit(f"UPDATE {name} SET "), sets, where))
+    return changes.select("op", *key, F.concat(text, F.lit(";")).alias("statement"))
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Writes the table's next version beside the others; readers see it once it is whole. What reads an older version may go on."""
+    number = latest_version(df.sparkSession, path) + 1
+    df.write.parquet(f"{path}/version={number}")
+    return number
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The number of the last whole version, 0 without one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
+    return max((int(s.getPath().getParent().getName().partition("=")[2]) for s in done), default=0)
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    return spark.read.parquet(f"{path}/version={number or latest_version(spark, path)}")

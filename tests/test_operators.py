@@ -96,3 +96,24 @@ def test_files_and_sinks(spark, tmp_path):
     d = spark.sql("SELECT 1 AS a, 'it''s' AS b, DATE '2020-01-02' AS c, CAST(NULL AS INT) AS d, true AS e")
     assert sinks.insert_batches(d, "t", ["a"]).first().statement == "INSERT INTO t (a, b, c, d, e) VALUES\n(1, 'it''s', DATE '2020-01-02', NULL, TRUE);"
     assert sinks.insert_batches(d.limit(0), "t", ["a"]).isEmpty()
+
+
+def test_commands(spark, tmp_path):
+    from granary import cli
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "it's"), (4, None)], "k int, v string")
+    old.write.parquet(str(tmp_path / "old"))
+    new.write.parquet(str(tmp_path / "new"))
+    run = lambda *a: cli.run(cli.parser().parse_args(list(a)), spark)
+    two = ["t", str(tmp_path / "old"), str(tmp_path / "new"), "--key", "K"]
+    assert [r.statement for r in run("data-plan", *two).collect()] == ["UPDATE t SET v = 'it''s' WHERE k = 2;", "DELETE FROM t WHERE k = 3;", "INSERT INTO t (k, v) VALUES (4, NULL);"]
+    assert run("data-diff", *two, "--keep").filter("op = 'DELETE'").isEmpty()
+    for n in (1, 2):
+        assert run("apply", *two, "--out", str(tmp_path / "out")) is None and sinks.latest_version(spark, str(tmp_path / "out")) == n
+    assert got(sinks.read_version(spark, str(tmp_path / "out"))) == got(new)
+    new.drop("v").withColumn("w", F.lit(1)).write.parquet(str(tmp_path / "wide"))
+    steps = run("plan", "--old", f"t={tmp_path}/old", "--new", f"t={tmp_path}/wide", f"u={tmp_path}/new").collect()
+    assert [(r.table_name, r.step, r.reverse) for r in steps] == [("T", "ADD COLUMN", "DROP COLUMN"), ("T", "DROP COLUMN", None), ("U", "CREATE TABLE", "DROP TABLE")]
+    assert run("inspect", f"t={tmp_path}/old").count() == 2
+    assert run("dump", "t", str(tmp_path / "old"), "--key", "k").count() >= 1 and run("dump", "t", str(tmp_path / "old"), "--key", "k", "--json").count() == 3
