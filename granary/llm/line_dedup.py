@@ -38,6 +38,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
     d = d.join(drops, ["_ld_id", "_ld_text"], "left").withColumn("_ld_lines", _lines(F.col(text_col)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), "_ld_drops")
     text = F.when(F.col("_ld_drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_ld_lines")[i]), "\n"))
-    new = {"n_lines": F.size("_ld_lines").cast("long"), "n_dropped": F.coalesce(F.size("_ld_drops"), F.lit(0)).cast("long")}
-    new["n_dropped"] = F.when(F.col("_ld_drops").isNull(), F.lit(0)).otherwise(F.size("_ld_drops")).cast("long")
+    dropped = F.when(F.col("_ld_drops").isNull(), F.lit(0)).otherwise(F.size("_ld_drops"))
+    new = {"n_lines": F.size("_ld_lines").cast("long"), "n_dropped": dropped.cast("long")}
     return d.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
