@@ -15,9 +15,10 @@ from pyspark.sql import Window
 
 from granary.llm.common import NO_ID, lookup, stored
 from granary.llm.components import components
-from granary.llm.shingles import shingle_set
+from granary.llm.shingles import each_set
 
-BITS = 1024
+#: Bits of the smallest and the largest bitmaps; between these they have at least twice as many bits as the set has shingles.
+BITS, MOST_BITS = 1 << 10, 1 << 20
 FAN = 8
 #: Rows of a block that one task compares; larger blocks are dealt in pairs of tiles of this size.
 TILE = 4000
@@ -28,11 +29,19 @@ ORDER_SAMPLE, ORDER_KEYS = 6000, 100_000
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
+    width = BITS
+    while width < min(2 * len(s), MOST_BITS):
+        width *= 2
+    bits = np.zeros(width, dtype=bool)
+    bits[s & np.uint64(width - 1)] = True
     return np.packbits(bits).tobytes()
 
 
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (in rows of 64-bit words) brought to a smaller width: bits whose numbers are equal modulo the width are one."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 75 * union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -103,14 +112,16 @@ def dual_traversal(s: SignatureTree, t: SignatureTree) -> Iterator[tuple[np.ndar
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(node, n, sig) of rows (node, text): the size of the shingle set and a 128-bit hash of it."""
+    """(node, n, sig, map) of rows (node, text): the size of the shingle set, a 128-bit hash of it and its bitmap."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, k) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())], names=["node", "n", "sig"])
+            made = [(len(s), hashlib.md5(s.tobytes()).digest(), bitmap(s)) for s in each_set(b.column(1), k)]
+            if made:
+                n, sig, maps = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(maps, pa.binary())], names=["node", "n", "sig", "map"])
 
-    return rows.mapInArrow(made, "node long, n long, sig binary")
+    return rows.mapInArrow(made, "node long, n long, sig binary, map binary")
 
 
 def _frequent(rows: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +129,8 @@ def _frequent(rows: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarr
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, k).view(np.int64))], names=["s"])
+            for s in each_set(b.column(1), k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
     some = rows.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) * F.lit(total) < F.lit(ORDER_SAMPLE * 1_000_003)) if total > ORDER_SAMPLE else rows
     top = some.mapInArrow(all_of, "s long").groupBy("s").count().filter("count >= 3").orderBy(F.desc("count"), "s").limit(ORDER_KEYS).toPandas()
@@ -135,8 +146,7 @@ def _prefixes(rows: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray],
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, parts, held = [], [], 0
-            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(t, k)
+            for node, s in zip(b.column(0).to_pylist(), each_set(b.column(1), k), strict=True):
                 most = len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0
                 at = np.minimum(np.searchsorted(keys, s), max(len(keys) - 1, 0))
                 known = keys[at] == s if len(keys) else np.zeros(len(s), bool)
@@ -157,33 +167,71 @@ def _prefixes(rows: DataFrame, k: int, frequent: tuple[np.ndarray, np.ndarray],
     return rows.mapInArrow(made, "s long, node long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose sets are alike."""
+def _possible(pairs: DataFrame, meta: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that sizes and bitmaps allow to be alike."""
+
+    def fits(n: int, m: int, x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+        words = min(a.size, b.size)
+        a, b = folded(a, words), folded(b, words)
+        return 4 * n >= 3 * m + 7 * int(np.bitwise_count(a & ~b).sum(dtype=np.int64)) and 4 * m >= 3 * n + 7 * int(np.bitwise_count(b & ~a).sum(dtype=np.int64))
+
+    @F.pandas_udf("boolean")
+    def may(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([fits(*z) for z in zip(n, m, x, y, strict=True)], dtype=bool)
+
+    of = lambda name: meta.select(F.col("node").alias(name), F.col("n").alias(f"_n{name}"), F.col("map").alias(f"_m{name}"))
+    p = pairs.join(of("b"), "b").join(of("a"), "a").filter("4 * _na >= 3 * _nb and 4 * _nb >= 3 * _na")
+    return p.filter(may("_na", "_nb", "_ma", "_mb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, meta: DataFrame, k: int) -> DataFrame:
+    """Of pairs (a, b), those whose sets are alike. The sets of the documents that occur are made from their texts and stored for the joins."""
+    ids = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(meta.select("node", "sig"), "node"), "to-compare")
+    wanted = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(node, s.tobytes()) for node, s, sig in zip(b.column(0).to_pylist(), each_set(b.column(1), k), b.column(2).to_pylist(), strict=True) if hashlib.md5(s.tobytes()).digest() == sig]
+            if made:
+                nodes, sets = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    sets = stored(rows.join(wanted, "node").select("node", "text", "sig").mapInArrow(full, "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     @F.pandas_udf("boolean")
     def check(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("shingles").alias("_sb"))
-    p = pairs.join(right.drop("_sb"), "b").join(left.drop("_sa"), "a").filter("4 * _na >= 3 * _nb and 4 * _nb >= 3 * _na").select("a", "b")
-    return p.join(left, "a").join(right, "b").filter(check("_sa", "_sb")).select("a", "b")
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(check("_a", "_b")).select("a", "b")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) within blocks: rows (block, left, right, tile, node, n, map, comp), sorted by the first three; each block's rows go through two signature trees, or one."""
+    """Candidate pairs (a, b) within blocks: rows (block, left, right, tile, node, n, map, comp), sorted by the first three; each block's rows go through signature trees, one for each width of bitmaps; widths more than a step apart mean sizes that can't link."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def pairs(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        maps = np.frombuffer(b"".join(df["map"]), dtype=np.uint64).reshape(len(df), -1)
-        node, n, comp, tile = (df[c].to_numpy() for c in ("node", "n", "comp", "tile"))
-        comp = np.unique(comp, return_inverse=True)[1]
-        sides = [np.flatnonzero(tile == x) for x in dict.fromkeys((df["left"].iloc[0], df["right"].iloc[0]))]
-        trees = [SignatureTree(maps[x], n[x], comp[x]) for x in sides if len(x)]
-        if len(trees) == len(sides):
-            for i, j in dual_traversal(trees[0], trees[-1]):
-                a, b = node[sides[0][i]], node[sides[-1][j]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        node, n, tile, words = df["node"].to_numpy(), df["n"].to_numpy(), df["tile"].to_numpy(), df["map"].map(len).to_numpy() // 8
+        comp = np.unique(df["comp"].to_numpy(), return_inverse=True)[1]
+        maps = df["map"].to_numpy()
+
+        def tree(rows: np.ndarray, width: int) -> SignatureTree:
+            own = np.frombuffer(b"".join(maps[rows]), dtype=np.uint64).reshape(len(rows), -1)
+            return SignatureTree(folded(own, width), n[rows], comp[rows])
+
+        left, right = (tile == df[x].iloc[0] for x in ("left", "right"))
+        for w in np.unique(words):
+            for v in (w, 2 * w):  # others differ too much in size
+                for a, b in ([(left & (words == w), right & (words == v))] + ([(left & (words == v), right & (words == w))] if v != w and df["left"].iloc[0] != df["right"].iloc[0] else [])):
+                    x, y = np.flatnonzero(a), np.flatnonzero(b)
+                    if not len(x) or not len(y):
+                        continue
+                    s = tree(x, w)
+                    t = s if np.array_equal(x, y) else tree(y, w)
+                    for i, j in dual_traversal(s, t):
+                        p, q = node[x[i]], node[y[j]]
+                        yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -212,44 +260,34 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     Blocks of any size are dealt in tiles, so no task holds an unbounded group, and no link between components is lost.
 
     Texts without words (null, empty) have no shingles and link with nothing. Rows that share an id are one document, in one
-    component. Rows with a null id are one document whose id comes last; their component_id is null if they are alone.
+    component; if their texts differ, the one whose set has the least hash speaks for those that no smaller id has. Rows with a null id are one document whose id comes last; their component_id is null if they are alone.
     Other columns of docs are not looked at.
     """
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("node"), F.col(text_col).alias("text"))
     light = stored(_sets(rows, k), "shingle-sets")
-    classes = light.filter("n > 0").groupBy("sig").agg(F.min("node").alias("rep"), F.count("*").alias("copies"))
+    classes = light.filter("n > 0").groupBy("sig").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("map").alias("map"))
     classes = stored(classes, "shingle-classes")
-    reps = classes.select(F.col("rep").alias("node")).distinct()
+    meta = classes.groupBy(F.col("rep").alias("node")).agg(F.min(F.struct("sig", "n", "map")).alias("x")).select("node", "x.*")
+    reps = meta.select("node")
     frequent = _frequent(rows, k, light.count())
 
     by_shingle = Window.partitionBy("s")
-    rare = _prefixes(rows, k, frequent, False).withColumns({"leader": F.min("node").over(by_shingle)}).filter("leader <> node").select("leader", "node").distinct()
+    rare = _prefixes(rows, k, frequent, False).withColumn("leader", F.min("node").over(by_shingle)).filter("leader <> node").select("leader", "node").distinct()
     hot = stored(_prefixes(rows, k, frequent, True).join(reps, "node", "left_semi").distinct(), "hot-prefixes")
     led = hot.groupBy("s").agg(F.min("node").alias("leader"), F.count("*").alias("w")).filter("w > 1")
     led = lookup(hot, stored(led, "hot-leaders"), "s", "w", F.xxhash64("node", F.lit("spread"))).filter("leader <> node").select("leader", "node")
     star = stored(rare.union(led).join(reps, "node", "left_semi").distinct(), "block-members")
-
-    ids = stored(star.select("node").union(star.select(F.col("leader").alias("node"))).distinct().join(classes.select(F.col("rep").alias("node"), "sig"), "node"), "in-blocks")
-    wanted = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, t, sig in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s = shingle_set(t, k)
-                if hashlib.md5(s.tobytes()).digest() == sig:
-                    yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary()), pa.array([bitmap(s)], pa.binary())], names=["node", "n", "shingles", "map"])
-
-    sets = stored(rows.join(wanted, "node").select("node", "text", "sig").mapInArrow(full, "node long, n long, shingles binary, map binary").dropDuplicates(["node"]), "block-sets")
-    first = stored(_verified(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets), "links-to-leaders")
+    first = stored(_possible(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), meta), "near-leaders")
+    first = stored(_verified(first, rows, meta, k), "links-to-leaders")
     joined = stored(components(first), "components-of-leaders")
 
     # What is left of the blocks: those whose members, without the leader, are of several components.
     members = star.join(joined, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
     open_ = members.groupBy("leader").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x <> y").select("leader", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    members = members.join(open_, "leader").join(sets.select("node", "n", "map"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    members = members.join(open_, "leader").join(meta.select("node", "n", "map"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = _blocks(members.select(F.col("leader").alias("block"), F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "tile", "node", "n", "map", "comp"))
-    second = stored(_verified(pairs, sets), "links-in-blocks")
+    second = stored(_verified(stored(pairs, "near-in-blocks"), rows, meta, k), "links-in-blocks")
     comp = joined.withColumnRenamed("component", "c")
     of = lambda x: F.coalesce(F.col(x), F.col("node"))
     second = second.select(F.col("a").alias("node"), "b").join(comp, "node", "left").select(of("c").alias("a"), F.col("b").alias("node")).join(comp, "node", "left").select("a", of("c").alias("b"))
@@ -257,7 +295,7 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     links = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(second.select(F.col("a").alias("node"))).union(second.select(F.col("b").alias("node"))).distinct()
     final = links.join(comp, "node", "left").select("node", of("c").alias("c0")).join(last, "c0", "left").select(F.col("node").alias("rep"), F.coalesce("c1", "c0").alias("comp"))
     named = stored(classes.join(final, "rep", "left").select("sig", "copies", F.coalesce("comp", "rep").alias("comp")), "class-components")
-    out = lookup(light, named, "sig", "copies", F.unhex(F.md5(F.col("node").cast("string"))))
+    out = lookup(light.select("node", "n", "sig"), named, "sig", "copies", F.unhex(F.md5(F.col("node").cast("string"))))
     comp_id = F.coalesce(F.least("comp", "node"), F.col("node"))
     known = lambda x: F.when(x != NO_ID, x)
     return out.select(known(F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), known(comp_id).alias("component_id"))
