@@ -66,3 +66,10 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Col
     out = out.withColumn("_by", F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(spread))
     out = out.join(rest, (F.col("_by") == F.col("_rest_key")) & F.col("_hot_key").isNull(), "left")
     return out.select(*left.columns, *(F.coalesce(F.col("_hot")[c], F.col("_rest")[c]).alias(c) for c in values))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers get whole texts in batches of `rows`, not of Spark's default of 10,000, which take ten times the memory; a setting of the user's own stays."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))

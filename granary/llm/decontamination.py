@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import small_batches
 from granary.llm.shingles import PLAIN, each_words, mix, word_hashes
 
 #: Places of the embedding that make a key, and most repetitions.
@@ -224,6 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: flo
     Null and empty texts and items match nothing. Repeated rows and ids count as they are; null ids are kept. Other columns are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).filter(F.col("id").isNotNull() & (F.char_length("text") > 0))
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_CHARS) if total > BLOCK_CHARS else 1

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import small_batches
+
 # HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas select option textarea button audio video head title datalist".split())
@@ -139,6 +141,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null, empty and text-free pages give an empty text. Unclosed, misnested and unknown tags are read like browsers do, roughly.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(page: pd.Series) -> pd.Series:
         return page.map(main_text, na_action=None)

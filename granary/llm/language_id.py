@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import small_batches, stored
+
 DIM = 1 << 13
 _FOLD: list[np.ndarray] = []
 
@@ -19,7 +21,7 @@ _FOLD: list[np.ndarray] = []
 def _fold() -> np.ndarray:
     """For each code point: its lower case if it is a letter, else a space."""
     if not _FOLD:
-        _FOLD.append(np.array([ord(c.lower()[0]) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32))
+        _FOLD.append(np.fromiter((ord(c.lower()[0]) if c.isalpha() else 32 for c in map(chr, range(0x110000))), dtype=np.uint32, count=0x110000))
     return _FOLD[0]
 
 
@@ -101,6 +103,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.
     sample texts of that length have to the nearest centroid of their own language. Lengths with few texts take it from the
     next, less by the root of two for each halving. Without a row to learn from, everything is `und` and rejected.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.
         df[gram] = n
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + np.float32(0.05)
 
-    sizes = docs.groupBy("lang").count()
+    sizes = stored(docs.groupBy("lang").count(), "languages")
     few = docs.withColumn("_h", F.xxhash64("id", "text")).join(F.broadcast(sizes), "lang") if sizes.count() <= 10_000 else docs.withColumn("_h", F.xxhash64("id", "text")).withColumn("count", F.lit(sample))
     few = few.filter(F.pmod(F.col("_h"), F.lit(1_000_003)) * F.col("count") < F.lit(sample * 1_000_003)).orderBy("_h").limit(2 * sample * max(1, min(sizes.count(), 1000)))
 
@@ -156,6 +159,8 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
     these names are replaced.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, lang_score double, lang_rejected boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(model.predict(list(text)), columns=["lang_pred", "lang_score", "lang_rejected"]).astype({"lang_score": float, "lang_rejected": bool})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from granary.llm.common import NO_ID, lookup, stored
+from granary.llm.common import NO_ID, lookup, small_batches, stored
 from granary.llm.components import components
 from granary.llm.shingles import each_set
 
@@ -263,6 +263,7 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     component; if their texts differ, the one whose set has the least hash speaks for those that no smaller id has. Rows with a null id are one document whose id comes last; their component_id is null if they are alone.
     Other columns of docs are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("node"), F.col(text_col).alias("text"))
     light = stored(_sets(rows, k), "shingle-sets")
     classes = light.filter("n > 0").groupBy("sig").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("map").alias("map"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WHITE, WORD
+from granary.llm.common import WHITE, WORD, small_batches
 
 _WORDS = re.compile(WORD)
 TOKENIZERS = "/opt/tokenizers"
@@ -136,6 +136,7 @@ def assess(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENI
     are cut for that. A null or empty text has no words and fails. The two vocabulary files (about 1 MB) are read on the driver and sent with the task.
     """
     rules = rules or Rules()
+    small_batches(docs.sparkSession)
     with open(f"{tokenizers}/piece_bpe_32k.model", "rb") as a, open(f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "rb") as b:
         files = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 

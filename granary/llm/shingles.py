@@ -87,11 +87,10 @@ def _long(a: np.ndarray, case: bytes) -> np.ndarray:
 
 def each_words(texts: pa.Array, case: bytes = CASE) -> Iterator[np.ndarray]:
     """64-bit hashes of the words of each text, in order; none for null. Bytes are translated by `case` first."""
-    texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < n:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import small_batches
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
@@ -41,25 +42,27 @@ class SentenceModel:
 
 
 def _train(texts: list[str], toxic: np.ndarray, min_docs: int, rounds: int, decay: float, least_z: float, rate: float = 1.0) -> SentenceModel:
-    split = [[sorted(set(WORD.findall(s.lower()))) for s in SENTENCE.findall(t)] for t in texts]
-    distinct = [{w for s in doc for w in s} for doc in split]
-    df, bad = Counter(w for d in distinct for w in d), Counter(w for d, t in zip(distinct, toxic, strict=True) if t for w in d)
+    # Words are numbers from here on: texts of objects would take many times the memory.
+    number: dict[str, int] = {}
+    docs: list[list[np.ndarray]] = []
+    for t in texts:
+        docs.append([np.array(sorted({number.setdefault(w, len(number)) for w in WORD.findall(s.lower())}), np.int32) for s in SENTENCE.findall(t)])
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-
-    def telling(w: str) -> bool:
-        a, b = bad[w] + 0.5, df[w] - bad[w] + 0.5
-        return abs(math.log(a / (n1 + 1) * (n0 + 1) / b)) >= least_z * math.sqrt(1 / a + 1 / b)
-
-    vocabulary = sorted(w for w, n in df.items() if n >= min_docs and telling(w))
-    at = {w: i for i, w in enumerate(vocabulary)}
-    word, sentence, doc = [], [], []
-    for d, sentences in enumerate(split):
-        for s in sentences:
-            own = [at[w] for w in s if w in at]
-            word += own
-            sentence += [len(doc)] * len(own)
-            doc.append(d)
-    word, sentence, doc = np.array(word, int), np.array(sentence, int), np.array(doc, int)
+    df, bad = np.zeros(len(number)), np.zeros(len(number))
+    for d, t in zip(docs, toxic.tolist(), strict=True):
+        own = np.unique(np.concatenate(d)) if d else np.zeros(0, np.int32)
+        df[own] += 1
+        bad[own] += t
+    a, b = bad + 0.5, df - bad + 0.5
+    telling = (df >= min_docs) & (np.abs(np.log(a / (n1 + 1) * (n0 + 1) / b)) >= least_z * np.sqrt(1 / a + 1 / b))
+    vocabulary = [w for w, i in number.items() if telling[i]]
+    at = np.full(len(number), -1)
+    at[telling] = np.arange(int(telling.sum()))
+    kept = [at[s] for d in docs for s in d]
+    kept = [s[s >= 0] for s in kept]
+    word = np.concatenate([*kept, np.zeros(0, int)]).astype(int)
+    sentence = np.repeat(np.arange(len(kept)), [len(s) for s in kept])
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     w, b = np.zeros(len(vocabulary)), -6.0
     gw, gb = np.full(len(vocabulary), 1e-8), 1e-8  # AdaGrad
     for _ in range(rounds):
@@ -100,6 +103,8 @@ def score(docs: DataFrame, model: SentenceModel, text_col: str = "text") -> Data
     """
     new = ["toxicity", "n_sentences", "toxic_spans"]
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("toxicity double, n_sentences long, toxic_spans array<struct<start:long,end:long,p:double>>")
     def scored(text: pd.Series) -> pd.DataFrame:
         rows = [model.sentences(t) for t in text]
