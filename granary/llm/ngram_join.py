@@ -268,7 +268,8 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     light = stored(_sets(rows, k), "shingle-sets")
     classes = light.filter("n > 0").groupBy("sig").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("map").alias("map"))
     classes = stored(classes, "shingle-classes")
-    meta = classes.groupBy(F.col("rep").alias("node")).agg(F.min(F.struct("sig", "n", "map")).alias("x")).select("node", "x.*")
+    # A stored table, so that joins with it can split a leader that has very many pairs.
+    meta = stored(classes.groupBy(F.col("rep").alias("node")).agg(F.min(F.struct("sig", "n", "map")).alias("x")).select("node", "x.*"), "shingle-representatives")
     reps = meta.select("node")
     frequent = _frequent(rows, k, light.count())
 
