@@ -2,6 +2,7 @@
 
 Words are the alphabet. The CGK random walk maps a window of words to a longer string so that few edits become few
 differing places; sampled places are keys of LSH tables; what meets an item there is verified by exact edit distance.
+Sizes for which keys would meet too seldom do without: there, whatever keeps enough grams of an item is verified.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 from granary.llm.common import small_batches
 from granary.llm.shingles import PLAIN, each_words, mix, word_hashes
 
-#: Places of the embedding that make a key, and most repetitions.
+#: Places of the embedding that make a key, and most repetitions; sizes that need more have no walks, and all that gram hits leave is verified.
 SAMPLED, MOST_REPEATS = 3, 64
+#: Larger windows need far more repetitions.
+LONGEST = 256
+#: Gram hits of texts that are looked at in one go.
+HITS = 1_000_000
 #: Characters of benchmark text that one pass over the documents takes; a larger benchmark takes several passes.
 BLOCK_CHARS = 16_000_000
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +86,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """Items by window size: their words, the walks, and sorted keys with item numbers for each walk; and the sorted grams with the items and places that have them."""
+    """Items by window size: their words, the walks (none: all is verified), and sorted keys with item numbers for each walk; and the sorted grams with the items and places that have them."""
 
     ids: list[int]
     items: list[np.ndarray]
@@ -98,7 +103,9 @@ def _padded(rows: list[np.ndarray], size: int) -> np.ndarray:
 
 
 def _repeats(items: list[np.ndarray], size: int, share: float, recall: float) -> int:
-    """As many walks as find `recall` of copies that have the most edits allowed, judged by copies made of up to 40 items."""
+    """As many walks as find `recall` of copies that have the most edits allowed, judged by copies made of up to 40 items; 0 if MOST_REPEATS are too few."""
+    if size > LONGEST:
+        return 0
     r = np.random.default_rng(size)
     edited = []
     for item in items[:40]:
@@ -115,7 +122,7 @@ def _repeats(items: list[np.ndarray], size: int, share: float, recall: float) ->
         met |= w.keys(a) == w.keys(b)
         if met.mean() >= recall and n >= 7:
             return n + 1
-    return MOST_REPEATS
+    return 0
 
 
 def build_index(rows: list[tuple[int, str]], share: float, recall: float) -> Index:
@@ -163,6 +170,21 @@ def _seen(h: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return at[keys[k] == h[at]]
 
 
+def _likely(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, need: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of gram hits those that a copy may have, by row, item and diagonal: it keeps `need` grams of the item, on diagonals at most `edits` apart."""
+    order = np.lexsort((diagonal, item, row))
+    row, item, diagonal = row[order], item[order], diagonal[order]
+    group = np.cumsum(np.concatenate(([0], (np.diff(row) != 0) | (np.diff(item) != 0))))
+    key = group * (int(diagonal.max()) - int(diagonal.min()) + int(edits.max()) + 2) + diagonal - diagonal.min()
+    end = np.searchsorted(key, key + edits[item], "right")
+    full = np.flatnonzero(end - np.arange(len(key)) >= need[item])
+    edge = np.zeros(len(key) + 1, np.int64)
+    np.add.at(edge, full, 1)
+    np.add.at(edge, end[full], -1)
+    keep = np.cumsum(edge)[:-1] > 0
+    return row[keep], item[keep], diagonal[keep]
+
+
 def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(row, item, first word, end, edit distance) for each text and each item that it holds: the item's best place of those met first."""
     flags = {}
@@ -171,8 +193,29 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
         flags[g][(keys >> np.uint64(44)).astype(np.int64)] = True
     docs: dict[int, np.ndarray] = {}
     starts: list[np.ndarray] = []  # row, window start, window size
+    whole: list[np.ndarray] = []  # row, item, diagonal, of items without walks
     size_of = np.array([window_size(len(w)) for w in index.items], np.int64)
+    edits = np.array([allowed(len(w), index.share) for w in index.items], np.int64)
+    g_of = np.array([gram_size(len(w), index.share) for w in index.items], np.int64)
+    need = np.maximum(1, np.array([len(w) for w in index.items], np.int64) - g_of + 1 - g_of * edits)
+    walked = np.array([bool(index.by_size[s][0]) for s in size_of.tolist()], bool)
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n_hits = 0
+
+    def look() -> None:
+        row, item, diagonal = _likely(*(np.concatenate([h[k] for h in hits]) for k in range(3)), need, edits)
+        w = walked[item]
+        starts.append(np.unique(np.stack((row[w], np.maximum(diagonal[w], 0), size_of[item[w]]), axis=1), axis=0))
+        whole.append(np.stack((row[~w], item[~w], diagonal[~w]), axis=1))
+        kept = {*starts[-1][:, 0].tolist(), *whole[-1][:, 0].tolist()}
+        for r in {int(h[0][0]) for h in hits} - kept:
+            docs.pop(r, None)
+        hits.clear()
+
     for row, w in enumerate(each_words(texts, PLAIN)):
+        if n_hits > HITS:  # between texts, so that all hits of one are seen together
+            look()
+            n_hits = 0
         for g, (keys, item, place) in index.grams.items():
             h = _grams(w, g)
             at = _seen(h, keys, flags[g])
@@ -182,8 +225,10 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
             low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
             n = high - low
             k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.maximum(np.repeat(at, n) - place[k], 0)
-            starts.append(np.unique(np.stack((np.full(len(k), row), begin, size_of[item[k]]), axis=1), axis=0))
+            hits.append((np.full(len(k), row), item[k], np.repeat(at, n) - place[k]))
+            n_hits += len(k)
+    if hits:
+        look()
     if not starts:
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -210,6 +255,16 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
                 distance, end = best_match(w, docs[row][first : begin + len(w) + 2 * e])
                 if distance <= e:
                     found[row, i] = (begin, first + end, distance)
+    rest = np.concatenate(whole)
+    cut = np.flatnonzero(np.any(np.diff(rest[:, :2], axis=0) != 0, axis=1) | (np.diff(rest[:, 2]) > LONGEST)) + 1
+    for near in np.split(rest, cut) if len(rest) else ():
+        row, i, low = near[0].tolist()
+        w, e = index.items[i], int(edits[i])
+        first = max(0, low - e)
+        distance, end = best_match(w, docs[row][first : int(near[-1, 2]) + len(w) + 2 * e])
+        if distance <= e and (row, i) not in found:
+            begin = near[np.argmin(np.abs(near[:, 2] + len(w) - first - end)), 2]
+            found[row, i] = (max(0, int(begin)), first + end, distance)
     return [(row, index.ids[i], *x) for (row, i), x in sorted(found.items())]
 
 
@@ -218,8 +273,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: flo
 
     A document holds an item if a run of its words has an edit distance, in words, of at most `share` times the item's words.
     Windows of the item's size are laid wherever a document has a gram of an item (at most three words; by the pigeonhole
-    principle every copy with so few edits keeps one), so each window is looked up, never all documents against all items. Copies
-    with the most edits are found with probability `recall`, exact copies always. Verified by exact edit distance.
+    principle every copy with so few edits keeps one) and as many more on near diagonals as every such copy keeps, so each window is
+    looked up, never all documents against all items. Copies with the most edits are found with probability `recall`, exact copies
+    always; where MOST_REPEATS walks would find fewer, all that keeps so many grams is verified, so every copy is found. Verified by exact edit distance.
 
     The benchmark goes through in blocks of BLOCK_CHARS, each a pass over the documents, so what a task holds is bounded.
     Null and empty texts and items match nothing. Repeated rows and ids count as they are; null ids are kept. Other columns are not looked at.

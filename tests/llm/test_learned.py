@@ -103,6 +103,28 @@ def test_decontamination_against_brute_force(spark):
     assert exact <= got and all(x.distance == 0 for x in found if (x.doc_id, x.item_id) in exact)
 
 
+def edited_copies(n, k, copies, seed):
+    """Items of n random words, and for each copy a text with one of them, as many edits as allowed, and other words around."""
+    r = random.Random(seed)
+    items = [(i, " ".join(f"b{r.randrange(10**6)}" for _ in range(n))) for i in range(k)]
+    texts = []
+    for c in range(copies):
+        x = items[c % k][1].split()
+        for _ in range(decontamination.allowed(n, 0.2)):
+            at, new = r.randrange(len(x)), f"n{r.randrange(10**9)}"
+            x[at : at + 1] = r.choice(([], [new], [new, x[at]]))
+        texts.append(" ".join([f"p{r.randrange(10**6)}" for _ in range(20)] + x + [f"p{r.randrange(10**6)}" for _ in range(20)]))
+    return items, pa.array(texts)
+
+
+@pytest.mark.parametrize("n", [400, 800, 1500])
+def test_decontamination_finds_long_items(n):
+    items, texts = edited_copies(n, 10, 20, n)
+    found = decontamination.search(texts, decontamination.build_index(items, 0.2, 0.95))
+    assert {(c, c % 10) for c in range(20)} == {(row, i) for row, i, *_ in found}
+    assert all(distance <= n // 5 for *_, distance in found)
+
+
 def test_decontamination_blocks_and_awkward_rows(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, cases.words(20)), (2, None), (3, ""), (None, "x y z"), (4, cases.words(20, "long")), (5, "ONE, two!")], "item_id long, text string")
     want = {(1, 1), (3, 1), (4, 1), (8, 5), (9, 5), (10, 4)}
