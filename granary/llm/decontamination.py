@@ -20,6 +20,8 @@ from granary.llm.shingles import PLAIN, each_words, mix, word_hashes
 
 #: Places of the embedding that make a key, and most repetitions; sizes that need more have no walks, and all that gram hits leave is verified.
 SAMPLED, MOST_REPEATS = 3, 64
+#: Simulated copies that judge the repetitions of a size. They can't show a recall near 1, so that then all is verified.
+COPIES = 1000
 #: Larger windows need far more repetitions.
 LONGEST = 256
 #: Gram hits of texts that are looked at in one go.
@@ -102,26 +104,44 @@ def _padded(rows: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def _repeats(items: list[np.ndarray], size: int, share: float, recall: float) -> int:
-    """As many walks as find `recall` of copies that have the most edits allowed, judged by copies made of up to 40 items; 0 if MOST_REPEATS are too few."""
-    if size > LONGEST:
-        return 0
+def _copies(items: list[np.ndarray], size: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items for COPIES simulated copies with the most edits, as windows; and the windows that search lays for them amid other words, with their copies."""
     r = np.random.default_rng(size)
-    edited = []
-    for item in items[:40]:
+    order = r.permutation(len(items))
+    own, windows, of = [], [], []
+    for c in range(COPIES):
+        item = items[order[c % len(items)]]
+        e, g = allowed(len(item), share), gram_size(len(item), share)
         x = item.tolist()
-        for _ in range(allowed(len(item), share)):
+        for _ in range(e):
             kind, at = r.integers(3), int(r.integers(len(x)))
             new = int(r.integers(1, 2**63))
             x = x[:at] + ([new] if kind == 0 else [new, x[at]] if kind == 1 else []) + x[at + 1 :] or x
-        edited.append(np.array(x, np.uint64))
-    a, b = _padded(items[:40], size), _padded(edited, size)
-    met = np.zeros(len(a), bool)
-    for n in range(MOST_REPEATS):
-        w = Walk(size, n)
-        met |= w.keys(a) == w.keys(b)
-        if met.mean() >= recall and n >= 7:
-            return n + 1
+        text = np.concatenate((r.integers(1, 2**63, e, dtype=np.uint64), np.array(x, np.uint64), r.integers(1, 2**63, size, dtype=np.uint64)))
+        at, place = np.nonzero(_grams(text, g)[:, None] == _grams(item, g)[None, :])
+        begins = np.unique(np.maximum(at - place, 0))
+        own.append(item)
+        windows += [text[k : k + size] for k in begins.tolist()]
+        of.append(np.full(len(begins), c))
+    return _padded(own, size), _padded(windows, size), np.concatenate(of)
+
+
+def _repeats(items: list[np.ndarray], size: int, share: float, recall: float) -> int:
+    """As many walks as find `recall` of simulated copies that have the most edits allowed, with two standard errors to spare; 0 if MOST_REPEATS are too few."""
+    if size > LONGEST:
+        return 0
+    own, windows, of = _copies(items, size, share)
+    met = np.zeros(COPIES, bool)
+    for n in range(1, MOST_REPEATS + 1):
+        w = Walk(size, n - 1)
+        met[of[w.keys(windows) == w.keys(own)[of]]] = True
+        share_met = (met.sum() + 2) / (COPIES + 4)  # Agresti and Coull, so that no estimate is without error
+        if n >= 8 and share_met - 2 * np.sqrt(share_met * (1 - share_met) / COPIES) >= recall:
+            return n
+        if n >= 8 and (1 - met.mean()) ** (MOST_REPEATS / n) > 1 - recall:  # later walks find no larger share of what is left
+            return 0
+        left = ~met[of]
+        windows, of = windows[left], of[left]
     return 0
 
 

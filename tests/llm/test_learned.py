@@ -125,6 +125,16 @@ def test_decontamination_finds_long_items(n):
     assert all(distance <= n // 5 for *_, distance in found)
 
 
+@pytest.mark.parametrize(("n", "k"), [(10, 1), (15, 4), (20, 1), (30, 3), (50, 1), (80, 1), (80, 40), (200, 3)])
+def test_decontamination_recall_by_size(n, k):
+    share = []
+    for seed in range(3):
+        items, texts = edited_copies(n, k, 200, seed)
+        found = {(row, i) for row, i, *_ in decontamination.search(texts, decontamination.build_index(items, 0.2, 0.95))}
+        share.append(sum((c, c % k) in found for c in range(200)) / 200)
+    assert sum(share) / 3 >= 0.94 and min(share) >= 0.91  # 600 copies have a standard error of 0.009, 200 of 0.015
+
+
 def test_decontamination_blocks_and_awkward_rows(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, cases.words(20)), (2, None), (3, ""), (None, "x y z"), (4, cases.words(20, "long")), (5, "ONE, two!")], "item_id long, text string")
     want = {(1, 1), (3, 1), (4, 1), (8, 5), (9, 5), (10, 4)}
