@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WHITE, WORD, small_batches
+from granary.llm.common import WHITE, WORD, small_batches, stored
 
 _WORDS = re.compile(WORD)
 TOKENIZERS = "/opt/tokenizers"
@@ -22,11 +22,13 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 REMEMBER = 400_000
 #: Longer words are cut for the tokenizers, which merge in more than linear time.
 CUT = 256
+#: Robust deviations from the median beyond which a measure is rejected, least deviations as shares of the median, and different texts that a group needs for bands of its own.
+SPREAD, LEAST_SPREAD, LEAST_TEXTS = 4.0, {"chars_per_token": 0.015, "token_entropy": 0.02}, 200
 
 
 @dataclass(frozen=True)
 class Bands:
-    """What a kept text's tokens are like; for texts under `least_tokens` only the byte share is looked at."""
+    """The widest bands, whatever the documents are like; for texts under `least_tokens` only the byte share is looked at."""
 
     chars_per_token: tuple[float, float] = (1.1, 9.0)
     most_byte_share: float = 0.3
@@ -127,14 +129,8 @@ _MADE: dict[str, Fertility] = {}
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, kept boolean"
 
 
-def assess(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENIZERS, text_col: str = "text") -> DataFrame:
-    """docs with counts, token measures and a verdict, all of the whole text. Columns with these names are replaced.
-
-    base_failed: under 10 words, or over a fifth of the words stand in 5-word windows that occur again. kept: not base_failed,
-    and the tokens are within the bands of the text's script: characters per token (the mean of both vocabularies' figures), the
-    share of byte-fallback tokens, and the entropy of tokens. Tokens are those of single words; words of over 256 code points
-    are cut for that. A null or empty text has no words and fails. The two vocabulary files (about 1 MB) are read on the driver and sent with the task.
-    """
+def measure(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENIZERS, text_col: str = "text") -> DataFrame:
+    """docs with counts and token measures of the whole text, in one pass; `kept` says so far that neither base rules nor the fixed bands of `rules` fail."""
     rules = rules or Rules()
     small_batches(docs.sparkSession)
     with open(f"{tokenizers}/piece_bpe_32k.model", "rb") as a, open(f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "rb") as b:
@@ -161,3 +157,58 @@ def assess(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENI
     keep = [c for c in docs.columns if c not in names]
     d = docs.select(*keep, assessed(F.col(text_col)).alias("_q"))
     return d.select(*keep, *(F.col("_q")[c].alias(c) for c in names))
+
+
+def _groups(measured: DataFrame, lang_col: str) -> DataFrame:
+    """measured with `_lang` and `_size`, which doubles of tokens share."""
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in measured.columns else F.lit("")
+    return measured.withColumns({"_lang": lang, "_size": F.length(F.bin("n_tokens"))})
+
+
+def fit(measured: DataFrame, rules: Rules | None = None, lang_col: str = "lang") -> DataFrame:
+    """Bands (_level, script, _lang, _size, low and high of each measure) from all documents that the base rules keep and that have enough tokens.
+
+    Groups are of script, language and length (level 0), of script and language (1) and of script (3), each with at least LEAST_TEXTS
+    texts; repeated texts count once, so a text with many copies makes no band narrow. A band ends SPREAD robust deviations below and
+    above the median, each side by its own quartile; so up to about a fourth of a group may be junk.
+    """
+    d = _groups(measured, lang_col).filter(~F.col("base_failed") & (F.col("n_tokens") >= (rules or Rules()).default.least_tokens))
+    d = d.select("script", "_lang", "_size", "n_tokens", *(F.round(c, 4).alias(c) for c in LEAST_SPREAD)).distinct()
+    found = d.rollup("script", "_lang", "_size").agg(F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("n"), *(F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c) for c in LEAST_SPREAD))
+    ends = []
+    for c, least in LEAST_SPREAD.items():
+        low, mid, high = (F.col(c)[i] for i in range(3))
+        ends.append((mid - SPREAD * F.greatest((mid - low) / 0.6745, mid * least)).alias(f"{c}_low"))
+        ends.append((mid + SPREAD * F.greatest((high - mid) / 0.6745, mid * least)).alias(f"{c}_high"))
+    return found.filter((F.col("n") >= LEAST_TEXTS) & (F.col("_level") < 7)).select("_level", "script", "_lang", "_size", *ends)
+
+
+def within(measured: DataFrame, bands: DataFrame, rules: Rules | None = None, lang_col: str = "lang") -> DataFrame:
+    """measured, where kept asks too for the bands of the narrowest group that has some; both should be stored tables."""
+    d = _groups(measured, lang_col)
+    ends = [x for x in bands.columns if x.endswith(("_low", "_high"))]
+    for level, keys in ((0, ("script", "_lang", "_size")), (1, ("script", "_lang")), (3, ("script",))):
+        own = bands.filter(F.col("_level") == level).select(*(F.col(k).alias(f"_{level}{k}") for k in keys), F.struct(*ends).alias(f"_band{level}"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"_{level}{k}"))
+        d = d.join(F.broadcast(own), on, "left")
+    band = F.coalesce(F.col("_band0"), F.col("_band1"), F.col("_band3"))
+    fine = [F.col(c).between(band[f"{c}_low"], band[f"{c}_high"]) for c in LEAST_SPREAD]
+    kept = F.col("kept") & (band.isNull() | (F.col("n_tokens") < (rules or Rules()).default.least_tokens) | fine[0] & fine[1])
+    return d.select(*(kept.alias(c) if c == "kept" else F.col(c) for c in measured.columns))
+
+
+def assess(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENIZERS, text_col: str = "text", lang_col: str = "lang", drop_text: bool = False) -> DataFrame:
+    """docs with counts, token measures and a verdict, all of the whole text. Columns with these names are replaced.
+
+    base_failed: under 10 words, or over a fifth of the words stand in 5-word windows that occur again. kept: not base_failed,
+    and the tokens are within the fixed bands of the text's script and the bands that all documents set for its script, language
+    (where docs has lang_col) and length: characters per token (the mean of both vocabularies' figures) and the entropy of tokens,
+    both two-sided; and by fixed bands the share of byte-fallback tokens. Tokens are those of single words; words of over 256 code points
+    are cut for that. A null or empty text has no words and fails. The two vocabulary files (about 1 MB) are read on the driver and sent with the task.
+    The measured rows are stored, without text if drop_text is set, so that texts are cut into tokens once.
+    """
+    measured = measure(docs, rules, tokenizers, text_col)
+    measured = stored(measured.drop(text_col) if drop_text else measured, "quality")
+    return within(measured, stored(fit(measured, rules, lang_col), "quality-bands"), rules, lang_col)

@@ -36,7 +36,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), drop_text=True)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "token_entropy")
 
 

@@ -247,3 +247,14 @@ def test_quality_tokens_and_verdict(spark):
     assert out[1].kept and out[1].script == "latin" and out[1].byte_share == 0 and 2 < out[1].chars_per_token < 7
     assert out[2].byte_share > 0.3 and not out[2].kept
     assert out[3].token_entropy < 8 and out[3].n_repeat_words == 90
+
+
+def test_quality_bands_reject_what_base_rules_keep(spark):
+    r = random.Random(5)
+    known = "people water small house river under green market between summer window letter garden morning teacher history number country paper travel story music simple answer family friend building picture question village".split()
+    text = lambda: " ".join(r.choice(known) for _ in range(r.randrange(70, 120)))
+    junk = lambda: " ".join("".join(r.choice("abcdeiorstx") for _ in range(5)) + r.choice(("***", "%%%", "###")) for _ in range(90))
+    rows = [(i, text(), "en") for i in range(400)] + [(1000 + i, junk(), "en") for i in range(20)] + [(2000 + i, "the same words stand here again and again with some more " + " ".join(known) * 3, None) for i in range(300)]
+    out = {x.doc_id: x for x in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(rows) and all(out[1000 + i].base_failed is False and not out[1000 + i].kept for i in range(20))
+    assert sum(out[i].kept for i in range(400)) >= 396
