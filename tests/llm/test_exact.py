@@ -218,6 +218,16 @@ def test_pii_trees_add_secrets(spark):
     assert pii.fit(docs.limit(0)).trees == []
 
 
+def test_pii_trees_add_national_numbers_and_spelled_addresses(spark):
+    r, rows = random.Random(9), []
+    for i in range(600):
+        number, cue = f"(0{r.randrange(10, 99)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}", "phone" if i % 3 else "reach us under"
+        rows.append((i, f"order {r.randrange(1000, 9999)}-{r.randrange(10**5, 10**6)} of 2024-0{r.randrange(1, 9)}-1{i % 10}, {cue} {number} or jane{i} [at] example [dot] com, u{i}@mail.example.com"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for x in pii.find(docs, pii.fit(docs)).select("text", "redacted").collect():
+        assert x.redacted == re.sub(r"u[0-9]+@[a-z.]+", "[EMAIL]", re.sub(r"jane.* com", "[EMAIL]", re.sub(r"\(0[0-9]+\) [0-9-]+", "[PHONE]", x.text)))
+
+
 def counts(text):
     w, seen, dup = words(text), set(), 0
     for line in (text or "").split("\n"):
