@@ -228,6 +228,12 @@ def test_pii_trees_add_national_numbers_and_spelled_addresses(spark):
         assert x.redacted == re.sub(r"u[0-9]+@[a-z.]+", "[EMAIL]", re.sub(r"jane.* com", "[EMAIL]", re.sub(r"\(0[0-9]+\) [0-9-]+", "[PHONE]", x.text)))
 
 
+def test_pii_long_candidates_are_whole(spark):
+    texts = [f"token: {'a1' * 5000} end", f"{'j' * 200} [at] {'e' * 100} [dot] com end"]
+    out = pii.candidates(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {(s.kind, s.m) for x in out for s in x._spans} == {("secret", "a1" * 5000), ("email", texts[1].removesuffix(" end"))}
+
+
 def counts(text):
     w, seen, dup = words(text), set(), 0
     for line in (text or "").split("\n"):
