@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a new temporary one only where that is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a new temporary one in local mode; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -73,3 +78,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
     if spark.conf.get(key, default) == default:
         spark.conf.set(key, str(rows))
+
+
+def fresh(name: str, *dfs: DataFrame) -> str:
+    """A column name that none of the tables has, whatever its case."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    out = f"_{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
+def others(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """df's columns but those with one of the names, in whatever case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def pieces_of(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Texts in order, in slices of about `most` bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield texts[at:i]
+            at, held = i, 0
+        held += size
+    if len(texts) > at:
+        yield texts[at:]

@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import WHITE, WORD, small_batches, stored
+from granary.llm.common import WHITE, fresh, others, pieces_of, small_batches, stored
 
-_WORDS = re.compile(WORD)
+_IS_WORD = np.array([chr(b) not in WHITE for b in range(256)])
+_IS_SYMBOL = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 TOKENIZERS = "/opt/tokenizers"
 #: Splits text for the rank vocabularies: letters, numbers or other signs, each with one space before.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a Python worker remembers; beyond that it forgets all and starts anew. Only speed depends on it.
 REMEMBER = 400_000
-#: Longer words are cut for the tokenizers, which merge in more than linear time.
-CUT = 256
+#: Bands that are broadcast at most.
+MOST_SENT = 100_000
+#: Bytes of text that are counted in one go; a longer text is one go by itself.
+BATCH_BYTES = 8_000_000
 #: Robust deviations from the median beyond which a measure is rejected, least deviations as shares of the median, and different texts that a group needs for bands of its own.
 SPREAD, LEAST_SPREAD, LEAST_TEXTS = 4.0, {"chars_per_token": 0.015, "token_entropy": 0.02}, 200
 
@@ -44,39 +47,86 @@ class Rules:
     by_script: dict[str, Bands] = field(default_factory=lambda: {"latin": Bands(), "greek": Bands((0.5, 9.0), 0.6), "cyrillic": Bands((0.8, 9.0), 0.5)})
 
 
-def base_counts(text: str | None) -> tuple[list[str], int, int, int, int, np.ndarray, list[str]]:
-    """words, word_chars, n_symbols, n_dup_lines, n_repeat_words; and of the distinct words how often they occur, and they themselves."""
-    text = text or ""
-    words = _WORDS.findall(text)
-    seen: set[str] = set()
-    dup = 0
-    for line in text.split("\n"):
-        if line in seen:
-            dup += 1
-        elif line.strip(WHITE):
-            seen.add(line)
-    ids: dict[str, int] = {}
-    for w in words:
-        ids.setdefault(w, len(ids))
-    a = np.fromiter(map(ids.__getitem__, words), dtype=np.uint64, count=len(words))
-    repeat = 0
-    if len(a) > 5 and len(ids) < len(a):
-        h = np.zeros(len(a) - 4, dtype=np.uint64)
-        for i in range(5):
-            h = (h ^ (a[i : len(a) - 4 + i] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(n[at] > 1)
-        if len(twice):
-            edge = np.zeros(len(a) + 1, dtype=np.int64)
-            np.add.at(edge, twice, 1)
-            np.add.at(edge, twice + 5, -1)
-            repeat = int((np.cumsum(edge)[:-1] > 0).sum())
-    return words, sum(map(len, words)), sum(map(text.count, "#*$%&|<>")), dup, repeat, np.bincount(a.astype(np.int64), minlength=len(ids)), list(ids)
+@dataclass
+class Batch:
+    """The words of many texts: bytes, where each text begins among them, words as numbers of a dictionary, and each word's text."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    inside: np.ndarray  # for each place, bytes of words before it
+    words: np.ndarray
+    of: np.ndarray
+    distinct: list[str]
+
+    @property
+    def n(self) -> int:
+        return len(self.begin) - 1
+
+    def total(self, marks: np.ndarray) -> np.ndarray:
+        """How many marked bytes each text has."""
+        before = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))
+        return before[self.begin[1:]] - before[self.begin[:-1]]
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the words of each text."""
+        return np.bincount(self.of, weights=values, minlength=self.n)
+
+
+def _strings(data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Strings that lie one after another in data."""
+    return pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def read(texts: pa.Array) -> Batch:
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    begin = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[begin[0] : begin[-1]]
+    begin = begin - begin[0]
+    is_word = _IS_WORD[data]
+    first = is_word.copy()
+    first[1:] &= ~is_word[:-1]
+    cut = begin[begin < len(data)]
+    first[cut] = is_word[cut]
+    at = np.flatnonzero(first)
+    inside = np.concatenate(([0], np.cumsum(is_word, dtype=np.int64)))
+    words = _strings(data[is_word], np.concatenate((inside[at], inside[-1:]))).dictionary_encode()
+    return Batch(data, begin, inside, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(begin, at, "right") - 1, words.dictionary.to_pylist())
+
+
+def repeated_lines(b: Batch) -> np.ndarray:
+    """Lines with a word that equal an earlier line, of each text."""
+    end = b.data == 10
+    at = np.sort(np.concatenate((b.begin[:-1], np.flatnonzero(end) + 1)))
+    stop = np.append(at[1:], len(b.data))
+    some = np.flatnonzero(b.inside[stop] > b.inside[at])
+    before = np.concatenate(([0], np.cumsum(~end, dtype=np.int64)))
+    lines = _strings(b.data[~end], np.append(before[at], before[-1])).take(pa.array(some)).dictionary_encode()
+    of = np.searchsorted(b.begin, at[some], "right") - 1
+    once = np.unique(of * (len(lines.dictionary) + 1) + lines.indices.to_numpy(zero_copy_only=False))
+    return np.bincount(of, minlength=b.n) - np.bincount(once // (len(lines.dictionary) + 1), minlength=b.n)
+
+
+def repeated_words(b: Batch) -> np.ndarray:
+    """Words in 5-word windows that a text has more than once. Windows with equal hashes are compared word by word."""
+    at = np.flatnonzero(b.of[:-4] == b.of[4:]) if len(b.of) > 4 else np.zeros(0, np.int64)
+    h = (b.of[at] + 1).astype(np.uint64)
+    for k in range(5):
+        h = (h ^ (b.words[at + k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    s = np.sort(h)
+    at = at[np.isin(h, np.unique(s[1:][s[1:] == s[:-1]]))]
+    edge = np.zeros(len(b.of) + 1, np.int64)
+    if len(at):
+        rows = np.stack([b.of[at], *(b.words[at + k] for k in range(5))], axis=1)
+        _, which, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        twice = at[n[which.ravel()] > 1]
+        np.add.at(edge, twice, 1)
+        np.add.at(edge, twice + 5, -1)
+    return b.by_text(np.cumsum(edge)[:-1] > 0).astype(np.int64)
 
 
 class Fertility:
-    """Tokens of words by two public vocabularies: one of pieces with byte fallback, one of byte ranks. Made in each Python worker from the files' bytes."""
+    """Tokens of words by two public vocabularies: one of pieces with byte fallback, one of byte ranks. Made in each Python worker from the files' bytes; it remembers words."""
 
     def __init__(self, pieces: bytes, ranks: bytes) -> None:
         import sentencepiece
@@ -85,44 +135,57 @@ class Fertility:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.bpe = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
-        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
-        self.known: dict[str, tuple[list[int], int]] = {}
+        self.size = self.sp.get_piece_size()
+        self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.size)])
+        self.forget()
 
-    def measure(self, words: Sequence[str], counts: np.ndarray) -> tuple[int, int, int, float]:
-        """Piece tokens, byte tokens among them, rank tokens, and the entropy of the piece tokens in bits."""
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held, self.begin = [np.zeros(0, np.int64)], [0]
+        self.facts: list[tuple[int, ...]] = []  # byte tokens, rank tokens, letters of each script
+
+    def learn(self, words: Sequence[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) > REMEMBER:
-                self.known.clear()
-                new = list(words)
-            cut = [w if len(w) <= CUT else "" for w in new]
-            for w, p, r in zip(new, self.sp.encode(cut, num_threads=1), (self.bpe.encode_ordinary(" " + c) for c in cut), strict=True):
-                if len(w) > CUT:
-                    parts = [w[i : i + CUT] for i in range(0, len(w), CUT)]
-                    p, r = sum(self.sp.encode(parts, num_threads=1), []), [x for c in parts for x in self.bpe.encode_ordinary(c)]
-                self.known[w] = (p, len(r))
-        if not words:
-            return 0, 0, 0, 0.0
-        found = [self.known[w] for w in words]
-        ids = np.array([i for p, _ in found for i in p], dtype=np.int64)
-        by = np.repeat(counts, [len(p) for p, _ in found])
-        n = np.bincount(ids, weights=by) if len(ids) else np.zeros(1)
-        total = n.sum()
-        q = n[n > 0] / max(total, 1)
-        return int(total), int(n[self.is_byte[: len(n)]].sum()), int(sum(r * c for (_, r), c in zip(found, counts.tolist(), strict=True))), float(-(q * np.log2(q)).sum())
+        if not new:
+            return
+        pieces = self.sp.encode(new, num_threads=1)
+        counted = script_letters(new)
+        for w, p, letters in zip(new, pieces, counted.tolist(), strict=True):
+            self.known[w] = len(self.facts)
+            self.begin.append(self.begin[-1] + len(p))
+            self.facts.append((int(self.is_byte[p].sum()), len(self.bpe.encode_ordinary(" " + w)), *letters))
+        self.held.append(np.array([i for p in pieces for i in p], np.int64))
+
+    def measure(self, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: piece tokens, byte tokens among them, rank tokens, the entropy of the piece tokens in bits, and letters by script."""
+        if len(self.known) > REMEMBER:
+            self.forget()
+        self.learn(b.distinct)
+        self.held = [np.concatenate(self.held)]
+        at = np.fromiter(map(self.known.__getitem__, b.distinct), np.int64, len(b.distinct))
+        begin, facts = np.array(self.begin), np.array([self.facts[i] for i in at.tolist()], np.int64).reshape(-1, 2 + len(SCRIPTS))
+        first, length = begin[at][b.words], np.diff(begin)[at][b.words]
+        pieces = b.by_text(length)
+        end = np.cumsum(length)
+        token = self.held[0][np.repeat(first - end + length, length) + np.arange(end[-1] if len(end) else 0)]
+        key = np.sort(np.repeat(b.of, length) * self.size + token)
+        run = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        n = np.diff(np.append(run, len(key)))
+        own = np.bincount(key[run] // self.size, weights=n * np.log2(n), minlength=b.n)
+        entropy = np.where(pieces > 0, np.log2(np.maximum(pieces, 1)) - own / np.maximum(pieces, 1), 0.0)
+        letters = np.stack([b.by_text(facts[:, 2 + k][b.words]) if facts[:, 2 + k].any() else np.zeros(b.n) for k in range(len(SCRIPTS))], axis=1)
+        return pieces, b.by_text(facts[:, 0][b.words]), b.by_text(facts[:, 1][b.words]), np.maximum(entropy, 0.0), letters
 
 
 # Code points where scripts begin and end.
 SCRIPTS = {"latin": (0x41, 0x24F), "greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x6FF), "indic": (0x900, 0xDFF), "thai": (0xE00, 0xE7F), "hangul": (0xAC00, 0xD7AF), "kana": (0x3040, 0x30FF), "han": (0x4E00, 0x9FFF)}
 
 
-def script(words: Sequence[str], counts: np.ndarray) -> str:
-    """The script that most letters of the words are of; `none` without letters of these scripts."""
+def script_letters(words: Sequence[str]) -> np.ndarray:
+    """How many letters of each script each word has."""
     a = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    by = np.repeat(counts, [len(w) for w in words])
-    n = {k: int(by[(a >= low) & (a <= high)].sum()) for k, (low, high) in SCRIPTS.items()}
-    top = max(n, key=lambda k: n[k])
-    return top if n[top] else "none"
+    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    return np.stack([np.bincount(of[(a >= low) & (a <= high)], minlength=len(words)) for low, high in SCRIPTS.values()], axis=1)
 
 
 _MADE: dict[str, Fertility] = {}
@@ -136,67 +199,77 @@ def measure(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKEN
     with open(f"{tokenizers}/piece_bpe_32k.model", "rb") as a, open(f"{tokenizers}/byte_bpe_multi_50k.tiktoken", "rb") as b:
         files = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 
-    def row(f: Fertility, text: str | None) -> tuple:
-        words, chars, symbols, dup, repeat, counts, distinct = base_counts(text)
-        n, failed = len(words), len(words) < 10 or 100 * repeat > 20 * len(words)
-        pieces, byte, ranks, entropy = f.measure(distinct, counts)
-        kind = script(distinct, counts)
-        cpt = (chars / pieces + chars / max(ranks, 1)) / 2 if pieces else 0.0
-        band = rules.by_script.get(kind, rules.default)
-        fine = byte <= band.most_byte_share * pieces and (pieces < band.least_tokens or band.chars_per_token[0] <= cpt <= band.chars_per_token[1] and entropy >= band.least_entropy)
-        return n, chars, symbols, dup, repeat, failed, kind, pieces, cpt, byte / pieces if pieces else 0.0, entropy, fine and not failed
-
     names = [x.split()[0] for x in FIELDS.split(", ")]
-
-    @F.pandas_udf(FIELDS)
-    def assessed(text: pd.Series) -> pd.DataFrame:
+    kinds = np.array([*SCRIPTS, "none"])
+    bands = [rules.by_script.get(k, rules.default) for k in kinds]
+
+    def columns(f: Fertility, texts: pa.Array) -> list[np.ndarray]:
+        b = read(texts)
+        n, chars, repeat = np.bincount(b.of, minlength=b.n), b.total(_IS_WORD[b.data] & (b.data & 0xC0 != 0x80)), repeated_words(b)
+        failed = (n < 10) | (100 * repeat > 20 * n)
+        pieces, byte, ranks, entropy, letters = f.measure(b)
+        kind = np.where(letters.any(axis=1), letters.argmax(axis=1), len(SCRIPTS))
+        some = np.maximum(pieces, 1)
+        cpt = np.where(pieces > 0, (chars / some + chars / np.maximum(ranks, 1)) / 2, 0.0)
+        low, high, most_bytes, least_entropy, least_tokens = (np.array([x(band) for band in bands])[kind] for x in (lambda v: v.chars_per_token[0], lambda v: v.chars_per_token[1], lambda v: v.most_byte_share, lambda v: v.least_entropy, lambda v: v.least_tokens))
+        fine = (byte <= most_bytes * pieces) & ((pieces < least_tokens) | (low <= cpt) & (cpt <= high) & (entropy >= least_entropy))
+        return [n, chars, b.total(_IS_SYMBOL[b.data]), repeated_lines(b), repeat, failed, kinds[kind], pieces.astype(np.int64), cpt, np.where(pieces > 0, byte / some, 0.0), entropy, fine & ~failed]
+
+    @F.arrow_udf(FIELDS)
+    def assessed(texts: pa.Array) -> pa.Array:
         if tokenizers not in _MADE:
             _MADE[tokenizers] = Fertility(*files.value)
-        return pd.DataFrame([row(_MADE[tokenizers], t) for t in text], columns=names)
+        parts = [columns(_MADE[tokenizers], t) for t in pieces_of(texts, BATCH_BYTES)]
+        if not parts:
+            parts = [columns(_MADE[tokenizers], texts)]
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) if n == "script" else pa.array(c) for n, c in zip(names, cols, strict=True)], names=names)
 
-    keep = [c for c in docs.columns if c not in names]
-    d = docs.select(*keep, assessed(F.col(text_col)).alias("_q"))
-    return d.select(*keep, *(F.col("_q")[c].alias(c) for c in names))
+    keep = others(docs, names)
+    made = fresh("quality", docs)
+    d = docs.select(*keep, assessed(F.col(text_col)).alias(made))
+    return d.select(*keep, *(F.col(made)[c].alias(c) for c in names))
 
 
 def _groups(measured: DataFrame, lang_col: str) -> DataFrame:
-    """measured with `_lang` and `_size`, which doubles of tokens share."""
+    """row (all columns of measured), lang and size, which doubles of tokens share."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in measured.columns else F.lit("")
-    return measured.withColumns({"_lang": lang, "_size": F.length(F.bin("n_tokens"))})
+    return measured.select(F.struct("*").alias("row"), lang.alias("lang"), F.length(F.bin("n_tokens")).alias("size"))
 
 
 def fit(measured: DataFrame, rules: Rules | None = None, lang_col: str = "lang") -> DataFrame:
-    """Bands (_level, script, _lang, _size, low and high of each measure) from all documents that the base rules keep and that have enough tokens.
+    """Bands (level, script, lang, size, low and high of each measure) from all documents that the base rules keep and that have enough tokens.
 
     Groups are of script, language and length (level 0), of script and language (1) and of script (3), each with at least LEAST_TEXTS
     texts; repeated texts count once, so a text with many copies makes no band narrow. A band ends SPREAD robust deviations below and
     above the median, each side by its own quartile; so up to about a fourth of a group may be junk.
     """
-    d = _groups(measured, lang_col).filter(~F.col("base_failed") & (F.col("n_tokens") >= (rules or Rules()).default.least_tokens))
-    d = d.select("script", "_lang", "_size", "n_tokens", *(F.round(c, 4).alias(c) for c in LEAST_SPREAD)).distinct()
-    found = d.rollup("script", "_lang", "_size").agg(F.grouping_id().alias("_level"), F.count(F.lit(1)).alias("n"), *(F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c) for c in LEAST_SPREAD))
+    d = _groups(measured, lang_col).filter(~F.col("row.base_failed") & (F.col("row.n_tokens") >= (rules or Rules()).default.least_tokens))
+    d = d.select("row.script", "lang", "size", "row.n_tokens", *(F.round(f"row.{c}", 4).alias(c) for c in LEAST_SPREAD)).distinct()
+    found = d.rollup("script", "lang", "size").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *(F.percentile_approx(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias(c) for c in LEAST_SPREAD))
     ends = []
     for c, least in LEAST_SPREAD.items():
         low, mid, high = (F.col(c)[i] for i in range(3))
         ends.append((mid - SPREAD * F.greatest((mid - low) / 0.6745, mid * least)).alias(f"{c}_low"))
         ends.append((mid + SPREAD * F.greatest((high - mid) / 0.6745, mid * least)).alias(f"{c}_high"))
-    return found.filter((F.col("n") >= LEAST_TEXTS) & (F.col("_level") < 7)).select("_level", "script", "_lang", "_size", *ends)
+    return found.filter((F.col("n") >= LEAST_TEXTS) & (F.col("level") < 7)).select("level", "script", "lang", "size", *ends)
 
 
 def within(measured: DataFrame, bands: DataFrame, rules: Rules | None = None, lang_col: str = "lang") -> DataFrame:
-    """measured, where kept asks too for the bands of the narrowest group that has some; both should be stored tables."""
+    """measured, where kept asks too for the bands of the narrowest group that has some; both should be stored tables. There are a few hundred bands, but they grow with scripts and languages, so only small ones are sent to all tasks."""
     d = _groups(measured, lang_col)
     ends = [x for x in bands.columns if x.endswith(("_low", "_high"))]
-    for level, keys in ((0, ("script", "_lang", "_size")), (1, ("script", "_lang")), (3, ("script",))):
-        own = bands.filter(F.col("_level") == level).select(*(F.col(k).alias(f"_{level}{k}") for k in keys), F.struct(*ends).alias(f"_band{level}"))
+    few = bands.count() <= MOST_SENT
+    for level, keys in ((0, ("script", "lang", "size")), (1, ("script", "lang")), (3, ("script",))):
+        own = bands.filter(F.col("level") == level).select(*(F.col(k).alias(f"{k}{level}") for k in keys), F.struct(*ends).alias(f"band{level}"))
         on = F.lit(True)
         for k in keys:
-            on = on & (F.col(k) == F.col(f"_{level}{k}"))
-        d = d.join(F.broadcast(own), on, "left")
-    band = F.coalesce(F.col("_band0"), F.col("_band1"), F.col("_band3"))
-    fine = [F.col(c).between(band[f"{c}_low"], band[f"{c}_high"]) for c in LEAST_SPREAD]
-    kept = F.col("kept") & (band.isNull() | (F.col("n_tokens") < (rules or Rules()).default.least_tokens) | fine[0] & fine[1])
-    return d.select(*(kept.alias(c) if c == "kept" else F.col(c) for c in measured.columns))
+            on = on & ((F.col("row.script") if k == "script" else F.col(k)) == F.col(f"{k}{level}"))
+        d = d.join(F.broadcast(own) if few else own, on, "left")
+    band = F.coalesce(F.col("band0"), F.col("band1"), F.col("band3"))
+    fine = [F.col(f"row.{c}").between(band[f"{c}_low"], band[f"{c}_high"]) for c in LEAST_SPREAD]
+    kept = F.col("row.kept") & (band.isNull() | (F.col("row.n_tokens") < (rules or Rules()).default.least_tokens) | fine[0] & fine[1])
+    return d.select(*(kept.alias(c) if c == "kept" else F.col("row")[c].alias(c) for c in measured.columns))
 
 
 def assess(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENIZERS, text_col: str = "text", lang_col: str = "lang", drop_text: bool = False) -> DataFrame:
@@ -205,8 +278,8 @@ def assess(docs: DataFrame, rules: Rules | None = None, tokenizers: str = TOKENI
     base_failed: under 10 words, or over a fifth of the words stand in 5-word windows that occur again. kept: not base_failed,
     and the tokens are within the fixed bands of the text's script and the bands that all documents set for its script, language
     (where docs has lang_col) and length: characters per token (the mean of both vocabularies' figures) and the entropy of tokens,
-    both two-sided; and by fixed bands the share of byte-fallback tokens. Tokens are those of single words; words of over 256 code points
-    are cut for that. A null or empty text has no words and fails. The two vocabulary files (about 1 MB) are read on the driver and sent with the task.
+    both two-sided; and by fixed bands the share of byte-fallback tokens. Tokens are those of single words, of any length.
+    A null or empty text has no words and fails; very long texts count whole; repeated rows and ids get equal verdicts, each its own; ties can't occur; an empty table gives an empty result. The two vocabulary files (about 1 MB) are read on the driver and sent with the task.
     The measured rows are stored, without text if drop_text is set, so that texts are cut into tokens once.
     """
     measured = measure(docs, rules, tokenizers, text_col)
