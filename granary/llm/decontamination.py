@@ -86,6 +86,18 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def begins(item: np.ndarray, text: np.ndarray, end: int) -> int:
+    """Where the best match that ends at `end` begins: of runs with the least edit distance to the item, one that begins with the item's first word, and then the longest."""
+    back, d = text[:end][::-1], np.arange(len(item) + 1)
+    step, of = d.copy(), item[::-1]
+    best = (int(d[-1]), True, 0)
+    for k, w in enumerate(back[: 2 * len(item) + 1].tolist(), 1):
+        new = np.concatenate(([k], np.minimum(d[:-1] + (of != w), d[1:] + 1)))
+        d = np.minimum.accumulate(new - step) + step
+        best = min(best, (int(d[-1]), bool(w != item[0]), -k))
+    return end + best[2]
+
+
 @dataclass
 class Index:
     """Items by window size: their words, the walks (none: all is verified), and sorted keys with item numbers for each walk; and the sorted grams with the items and places that have them."""
@@ -206,7 +218,7 @@ def _likely(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, need: np.nd
 
 
 def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, first word, end, edit distance) for each text and each item that it holds: the item's best place of those met first."""
+    """(row, item, first word, end, edit distance) for each text and each item that it holds: the best match around the first window, in order of words, that leads to one."""
     flags = {}
     for g, (keys, _, _) in index.grams.items():
         flags[g] = np.zeros(1 << 20, bool)
@@ -274,7 +286,7 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
                 first = max(0, begin - e)
                 distance, end = best_match(w, docs[row][first : begin + len(w) + 2 * e])
                 if distance <= e:
-                    found[row, i] = (begin, first + end, distance)
+                    found[row, i] = (first + begins(w, docs[row][first:], end), first + end, distance)
     rest = np.concatenate(whole)
     cut = np.flatnonzero(np.any(np.diff(rest[:, :2], axis=0) != 0, axis=1) | (np.diff(rest[:, 2]) > LONGEST)) + 1
     for near in np.split(rest, cut) if len(rest) else ():
@@ -283,8 +295,7 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
         first = max(0, low - e)
         distance, end = best_match(w, docs[row][first : int(near[-1, 2]) + len(w) + 2 * e])
         if distance <= e and (row, i) not in found:
-            begin = near[np.argmin(np.abs(near[:, 2] + len(w) - first - end)), 2]
-            found[row, i] = (max(0, int(begin)), first + end, distance)
+            found[row, i] = (first + begins(w, docs[row][first:], end), first + end, distance)
     return [(row, index.ids[i], *x) for (row, i), x in sorted(found.items())]
 
 
@@ -298,6 +309,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: flo
     always; where MOST_REPEATS walks would find fewer, all that keeps so many grams is verified, so every copy is found. Verified by exact edit distance.
 
     The benchmark goes through in blocks of BLOCK_CHARS, each a pass over the documents, so what a task holds is bounded.
+    Of several places of an item in a document, the first that a window leads to is given: first_word and end_word are where its best match
+    begins and ends, the first of equally good ends. Very long texts are searched whole; empty tables give an empty result.
     Null and empty texts and items match nothing. Repeated rows and ids count as they are; null ids are kept. Other columns are not looked at.
     """
     spark = docs.sparkSession

@@ -5,12 +5,13 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import small_batches
+from granary.llm.common import fresh, others, small_batches
 
 # HTML's element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -19,33 +20,49 @@ RAW = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("html body main article section div center td table tbody tr blockquote".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-ASIDE = frozenset("nav footer aside form menu dialog".split())
-# Words of class, id and role that say a part isn't the article.
+INSIDE = frozenset(("article", "main"))
+ASIDE = frozenset("nav footer aside menu dialog".split())
+#: Words that names of classes, ids and roles begin or end with where a part is likely not the article. They only weigh: see `blocks`.
 CHROME = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu topbar breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments reply replies respond disqus discussion share sharing social related recommended recommendations popup modal overlay newsletter subscribe subscription signup login copyright legal pagination pager skip search toolbar complementary contentinfo".split()
 )
-CONTENT = frozenset("article content entry post story main body text".split())
+#: How much text counts in parts that are likely no article, and in forms.
+UNLIKELY, IN_FORM = 0.001, 0.01
+#: Least score of content, whatever the other paths have: about a word.
+LEAST = 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^<>]*)>|<[!?][^<>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>|<[!?][^<>]*>", re.S)
 HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[,.;:!?、。，！？¿¡…]")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
-    """(path, text, whether it stands in a part that isn't the article, characters in links) of each block, in page order. Only block elements make paths."""
-    stack: list[tuple[str, str, bool]] = []  # element, its name in paths, whether it or what holds it isn't the article
-    out, buffer, linked, link = [], [], 0, 0
+def _likely(name: str, hints: list[list[str]], inside: bool) -> float:
+    """The weight of text in an element, by its name and what its class, id and role begin or end with."""
+    header = name == "header" or any("header" in (h[0], h[-1]) for h in hints)
+    if name in ASIDE or header and not inside or any(h[0] in CHROME or h[-1] in CHROME for h in hints):
+        return UNLIKELY
+    return IN_FORM if name == "form" else 1.0
+
+
+Path = tuple[int, str]  # number of a root-to-leaf path, its last element
+
+
+def blocks(page: str) -> list[tuple[Path, str, float, int]]:
+    """(path, text, weight, characters in links) of each block, in page order. Only block elements make paths; the weight is the least of the path's elements, 1 where none says that it isn't the article."""
+    numbers: dict[tuple[int, str], int] = {}  # of a path, by that of its parent and the last name with its hints
+    stack: list[tuple[str, int, float]] = []  # element, path, weight
+    open_: Counter[str] = Counter()
+    out, buffer, linked, link, inside = [], [], 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             if text:
-                out.append((tuple(s[1] for s in stack), text, bool(stack) and stack[-1][2], linked))
+                out.append(((stack[-1][1], stack[-1][0]) if stack else (-1, ""), text, stack[-1][2] if stack else 1.0, linked))
             buffer.clear()
         linked = 0
 
@@ -74,18 +91,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         elif name in BLOCK:
             flush()
             link = 0
-            if m[1]:
+            if m[1] and open_[name]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
+                        for x in stack[i:]:
+                            open_[x[0]] -= 1
+                            inside -= x[0] in INSIDE
                         del stack[i:]
                         break
-            elif name not in VOID and not m[3].endswith("/"):
+            elif not m[1] and name not in VOID and not m[3].endswith("/"):
                 while stack and stack[-1][0] in ("p", *HEADING) or stack and name == stack[-1][0] and name in ("li", "dd", "dt", "tr", "td", "th"):
-                    stack.pop()
-                hints = {p for h in HINT.finditer(m[3]) for p in PART.findall((h[1] or h[2] or h[3] or "").lower())} if m[3] else set()
-                inside = any(s[0] in ("article", "main") for s in stack)
-                off = name in ASIDE or bool(hints & CHROME) or ((name == "header" or "header" in hints) and not inside and not hints & CONTENT)
-                stack.append((name, name + "." + ".".join(sorted(hints)) if hints else name, off and name not in ("html", "body") or bool(stack) and stack[-1][2]))
+                    open_[stack.pop()[0]] -= 1
+                names = [w for h in HINT.finditer(m[3]) for w in (h[1] or h[2] or h[3] or "").lower().split()] if m[3] else []
+                hints = [parts for w in names if (parts := PART.findall(w))]
+                weight = 1.0 if name in ("html", "body") else _likely(name, hints, inside > 0)
+                key = stack[-1][1] if stack else -1, ".".join([name, *sorted({"-".join(h) for h in hints})])
+                inside += name in INSIDE
+                open_[name] += 1
+                stack.append((name, numbers.setdefault(key, len(numbers)), min(weight, stack[-1][2] if stack else 1.0)))
         elif name == "a":
             link = 0 if m[1] else 1
         elif name in ("br", "img", "input"):
@@ -94,51 +117,59 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
     return out
 
 
-def main_text(page: str | None, sigma: float = 1.0, threshold: float = 0.1) -> str:
-    """The page's content blocks joined by line ends.
-
-    For each path, text per block and punctuation per block are averaged, smoothed over neighbouring paths in page order with
-    a Gaussian and fused by their product. Paths in parts that name themselves as no article score 0, and links count against
-    a path. The search goes from the root to the child with nearly all of the score as long as that is a container; below
-    the last one, paths with `threshold` of the best score, and headings, are content.
-    """
-    parts = blocks(page or "")
-    paths: dict[tuple[str, ...], list[float]] = {}
-    for path, text, off, linked in parts:
-        p = paths.setdefault(path, [0, 0, 0, 0, 0])
+def path_scores(parts: list[tuple[Path, str, float, int]], sigma: float = 1.0) -> dict[Path, float]:
+    """The score of each path: its text per block and its punctuation per block, both smoothed, multiplied with each other, with the root of its
+    share of all text, with what of its text is in no link, and with its weight. Smoothing is Gaussian, over the paths next to it in page
+    order that have the same weight."""
+    paths: dict[Path, list[float]] = {}
+    for path, text, weight, linked in parts:
+        p = paths.setdefault(path, [0, 0, 0, 0, weight])
         p[0] += 1
         p[1] += len(text)
         p[2] += len(PUNCTUATION.findall(text))
         p[3] += min(linked, len(text))
-        p[4] += off
-    keys = list(paths)
-    raw = [(p[1] / p[0], (1 + p[2]) / p[0]) for p in paths.values()]
+    values = list(paths.values())
+    ratios = [(p[1] / p[0], (p[0] + p[2]) / p[0]) for p in values]
     near = [(d, math.exp(-d * d / (2 * sigma * sigma))) for d in (-1, 0, 1)]
-    score = {}
-    for i, key in enumerate(keys):
-        use = [(raw[i + d], w) for d, w in near if 0 <= i + d < len(keys) and (not d or not paths[keys[i + d]][4])]
-        total = sum(w for _, w in use)
-        p = paths[key]
-        score[key] = 0.0 if p[4] == p[0] else (sum(r[0] * w for r, w in use) / total) * (sum(r[1] * w for r, w in use) / total) * (1 - p[3] / p[1]) * (3 if any(k.split(".")[0] in ("article", "main") for k in key) else 1)
-    weight: dict[tuple[str, ...], float] = {}
-    for key, s in score.items():
-        for n in range(len(key) + 1):
-            weight[key[:n]] = weight.get(key[:n], 0) + s * math.sqrt(paths[key][0])
-    root: tuple[str, ...] = ()
-    while True:
-        down = max((k for k in weight if len(k) == len(root) + 1 and k[: len(root)] == root and k[-1].split(".")[0] in CONTAINER), key=lambda k: weight[k], default=None)
-        if down is None or weight[down] < 0.7 * weight[root] or not weight[root]:
-            break
-        root = down
-    best = max((s for k, s in score.items() if k[: len(root)] == root), default=0)
-    chosen = {k for k, s in score.items() if k[: len(root)] == root and (s >= threshold * best or k[-1:] and k[-1].split(".")[0] in HEADING or any(x.split(".")[0] in ("article", "main") for x in k) and paths[k][3] < 0.6 * paths[k][1])}
-    return "\n".join(text for path, text, off, _ in parts if not off and path in chosen)
+    total = sum(p[1] for p in values)
+    out = {}
+    for i, (key, p) in enumerate(paths.items()):
+        use = [(ratios[i + d], w) for d, w in near if 0 <= i + d < len(values) and values[i + d][4] == p[4]]
+        whole = sum(w for _, w in use)
+        text, signs = (sum(r[k] * w for r, w in use) / whole for k in range(2))
+        out[key] = text * signs * math.sqrt(p[1] / total) * (1 - p[3] / p[1]) * p[4]
+    return out
+
+
+def main_text(page: str | None, sigma: float = 1.0, threshold: float = 0.1) -> str:
+    """The page's content blocks joined by line ends.
+
+    Paths whose score (see `path_scores`) is at least `threshold` of the best one, and LEAST, hold content. Headings right before content
+    belong to it, and so do blocks between content that are of the same weight as content and mostly no links: short items, cells
+    of tables. Names of elements and classes only weigh, so a page that stands in a form as a whole has its text.
+    """
+    parts = blocks(page or "")
+    score = path_scores(parts, sigma)
+    least = max(threshold * max(score.values(), default=0), LEAST)
+    content = [score[p[0]] >= least for p in parts]
+    at = [i for i, c in enumerate(content) if c]
+    if not at:
+        return ""
+    weights = {parts[i][2] for i in at}
+    for i in range(at[0], at[-1]):
+        _, text, weight, linked = parts[i]
+        content[i] = content[i] or weight in weights and 2 * linked < len(text)
+    for i in range(len(parts) - 2, -1, -1):
+        path, _, weight, _ = parts[i]
+        content[i] = content[i] or content[i + 1] and weight in weights and path[1] in HEADING
+    return "\n".join(p[1] for p, c in zip(parts, content, strict=True) if c)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with `text`, the main text of the whole page, and `n_chars`, its code points; columns of these names are replaced.
+    """pages with `text`, the main text of the whole page, and `n_chars`, its code points; columns of these names are replaced, others stay.
 
     Null, empty and text-free pages give an empty text. Unclosed, misnested and unknown tags are read like browsers do, roughly.
+    Very long pages are read whole; repeated rows give equal texts; paths with equal scores are all content or none is; an empty table gives an empty result.
     """
 
     small_batches(pages.sparkSession)
@@ -147,5 +178,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def text(page: pd.Series) -> pd.Series:
         return page.map(main_text, na_action=None)
 
-    keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    return pages.select(*keep, text(F.col(html_col)).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    made = fresh("text", pages)
+    d = pages.select(*pages.columns, text(F.col(html_col)).alias(made))
+    return d.select(*others(pages, ("text", "n_chars")), F.col(made).alias("text"), F.char_length(made).cast("long").alias("n_chars"))

@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import small_batches, stored
+from granary.llm.common import fresh, others, small_batches, stored
 
 DIM = 1 << 13
+#: Languages that can be learnt.
+MOST_LANGUAGES = 1000
 _FOLD: list[np.ndarray] = []
 
 
@@ -96,12 +98,14 @@ class Centroids:
         return out
 
 
-def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.35, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
-    """Centroids from rows with a language. Document frequencies count all rows; centroids and floors are fitted on about `sample` rows a language, chosen by a hash (twice as many at most).
+def fit(docs: DataFrame, clusters: int = 4, sample: int = 800, error: float = 0.002, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
+    """Centroids from rows with a language. Document frequencies count all rows; centroids and floors are fitted on about `sample` rows a language, chosen by a hash.
 
-    The floor for texts of a length (log2 of the number of n-grams) is `slack` times the lowest hundredth of the cosines that
-    sample texts of that length have to the nearest centroid of their own language. Lengths with few texts take it from the
-    next, less by the root of two for each halving. Without a row to learn from, everything is `und` and rejected.
+    A fourth of the sample sets the floors and has no part in the centroids. For texts of a length (log2 of the number of n-grams) the floor
+    lies below all but `error` of the cosines that these texts have to their own language, and above as many of those that they have to
+    the other languages, which stand for languages not learnt: halfway between, where that is possible, and else at the lower end, so that
+    known languages are kept. Lengths with few texts take it from the next, less by the root of two for each halving.
+    Without a row to learn from, everything is `und` and rejected. Repeated rows count once in the sample; over MOST_LANGUAGES languages are an error.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -121,29 +125,39 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + np.float32(0.05)
 
     sizes = stored(docs.groupBy("lang").count(), "languages")
-    few = docs.withColumn("_h", F.xxhash64("id", "text")).join(F.broadcast(sizes), "lang") if sizes.count() <= 10_000 else docs.withColumn("_h", F.xxhash64("id", "text")).withColumn("count", F.lit(sample))
-    few = few.filter(F.pmod(F.col("_h"), F.lit(1_000_003)) * F.col("count") < F.lit(sample * 1_000_003)).orderBy("_h").limit(2 * sample * max(1, min(sizes.count(), 1000)))
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    few = docs.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(sizes), "lang")  # MOST_LANGUAGES rows
+    few = few.filter(F.pmod(F.col("h"), F.lit(1_000_003)) * F.col("count") < F.lit(sample * 1_000_003)).dropDuplicates(["h", "lang"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(lang, grams(t)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            rows = [(lang, zlib.compress(np.minimum(np.bincount(g, minlength=DIM), 65535).astype(np.uint16).tobytes(), 1), len(g)) for lang, g in rows if g is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "v", "n"])
-
-    rows = few.select("lang", "text").mapInArrow(packed, "lang string, v binary, n long").collect()
-    langs, vectors, near, lengths = [], [], [], []
+            rows = [(lang, h, grams(t)) for lang, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            rows = [(lang, h, zlib.compress(np.minimum(np.bincount(g, minlength=DIM), 65535).astype(np.uint16).tobytes(), 1), len(g)) for lang, h, g in rows if g is not None]
+            types = {"lang": pa.string(), "h": pa.int64(), "v": pa.binary(), "n": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+
+    rows = few.select("lang", "h", "text").mapInArrow(packed, "lang string, h long, v binary, n long").collect()  # about `sample` a language
+    langs, vectors = [], []
+    judges: list[tuple[str, int, np.ndarray]] = []  # language, n-grams and vector of texts that set floors
     for lang in sorted({r.lang for r in rows}):
-        own = sorted((bytes(r.v), r.n) for r in rows if r.lang == lang)
-        v = _unit(np.array([np.frombuffer(zlib.decompress(x), dtype=np.uint16) for x, _ in own]).astype(np.float32), idf)
-        c = _clusters(v, clusters)
+        own = sorted((r.h, r.n, bytes(r.v)) for r in rows if r.lang == lang)
+        v = _unit(np.array([np.frombuffer(zlib.decompress(x), dtype=np.uint16) for *_, x in own]).astype(np.float32), idf)
+        kept = np.arange(len(own)) % 4 != 3
+        c = _clusters(v[kept], clusters)
         langs += [lang] * len(c)
         vectors.append(c)
-        near += list((v @ c.T).max(axis=1))
-        lengths += [n for _, n in own]
-    at, floors = _bucket(np.array(lengths, dtype=np.int64)), np.full(64, np.nan)
-    for b in set(at):
-        if (at == b).sum() >= 20:
-            floors[b] = slack * np.quantile(np.array(near)[at == b], 0.01)
+        judges += [(lang, own[i][1], v[i]) for i in np.flatnonzero(~kept).tolist()]
+    floors = np.full(64, np.nan)
+    if judges:
+        cos = np.array([x for *_, x in judges]) @ np.concatenate(vectors).T
+        mine = np.array([x for x, *_ in judges])[:, None] == np.array(langs)[None, :]
+        own, other = np.where(mine, cos, -1).max(axis=1), np.where(mine, -1, cos).max(axis=1)
+        at = _bucket(np.array([n for _, n, _ in judges], dtype=np.int64))
+        for b in set(at.tolist()):
+            if (at == b).sum() >= 10:
+                low, high = np.quantile(own[at == b], error), max(0.0, np.quantile(other[at == b], 1 - error))
+                floors[b] = (low + high) / 2 if high < low else low
     known = [b for b in range(64) if not np.isnan(floors[b])]
     for b in range(64):
         if np.isnan(floors[b]):
@@ -155,8 +169,8 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 400, slack: float = 0.
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, lang_score (cosine to the nearest centroid, 0 to 1) and lang_rejected (nearer to none than its floor).
 
-    A text that is null or has no letter is `und` with score 0 and rejected. Whole texts count. Columns of docs that have
-    these names are replaced.
+    A text that is null or has no letter is `und` with score 0 and rejected. Whole texts count, however long; equal texts get equal
+    results; of equally near languages the first by name counts; an empty table gives an empty result. Columns of docs that have these names are replaced.
     """
 
     small_batches(docs.sparkSession)
@@ -166,5 +180,6 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
         return pd.DataFrame(model.predict(list(text)), columns=["lang_pred", "lang_score", "lang_rejected"]).astype({"lang_score": float, "lang_rejected": bool})
 
     new = ["lang_pred", "lang_score", "lang_rejected"]
-    d = docs.select(*(c for c in docs.columns if c not in new), predict(F.col(text_col)).alias("_lang"))
-    return d.select(*(c for c in docs.columns if c not in new), *(F.col("_lang")[c].alias(c) for c in new))
+    keep, made = others(docs, new), fresh("lang", docs)
+    d = docs.select(*keep, predict(F.col(text_col)).alias(made))
+    return d.select(*keep, *(F.col(made)[c].alias(c) for c in new))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import NO_ID, WHITE, ascii_lower, lookup, stored
+from granary.llm.common import NO_ID, WHITE, ascii_lower, lookup, others, stored
 
 
 def _lines(text: Column) -> Column:
@@ -26,18 +26,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
     positions to drop then meet the text once, and what stays is joined by position.
 
     A null or empty text is one empty line. Rows that share an id are one document. A null id is a document of its own
-    that comes after all others. Of columns called n_lines or n_dropped in docs, the new values take the place.
+    that comes after all others. Very long texts and lines count whole; equal keys within a document make no tie, since a document keeps or loses all its
+    lines of a key; an empty table gives an empty result. Columns called n_lines or n_dropped in docs are replaced, others stay.
     """
-    d = docs.withColumn("_ld_id", F.coalesce(F.col(id_col), F.lit(NO_ID))).withColumn("_ld_text", F.xxhash64(F.col(text_col)))
-    keyed = d.select("_ld_id", "_ld_text", F.posexplode(F.transform(_lines(F.col(text_col)), lambda x: _key_hash(x, min_chars))).alias("_ld_pos", "_ld_key")).filter(F.col("_ld_key").isNotNull())
-    once = keyed.groupBy("_ld_key", "_ld_id").agg(F.count("*").alias("_ld_n"))
-    seen = once.groupBy("_ld_key").agg(F.count("*").alias("_ld_docs"), F.min("_ld_id").alias("_ld_keeper"), F.sum("_ld_n").alias("_ld_weight"))
-    seen = stored(seen.filter(F.col("_ld_docs") >= min_docs).drop("_ld_docs"), "line-keys")
-    found = lookup(keyed, seen, "_ld_key", "_ld_weight", F.unhex(F.md5(F.concat_ws(":", "_ld_id", "_ld_pos"))))
-    drops = found.filter(F.col("_ld_keeper").isNotNull() & (F.col("_ld_keeper") != F.col("_ld_id"))).groupBy("_ld_id", "_ld_text").agg(F.collect_set("_ld_pos").alias("_ld_drops"))
-    d = d.join(drops, ["_ld_id", "_ld_text"], "left").withColumn("_ld_lines", _lines(F.col(text_col)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), "_ld_drops")
-    text = F.when(F.col("_ld_drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_ld_lines")[i]), "\n"))
-    dropped = F.when(F.col("_ld_drops").isNull(), F.lit(0)).otherwise(F.size("_ld_drops"))
-    new = {"n_lines": F.size("_ld_lines").cast("long"), "n_dropped": dropped.cast("long")}
-    return d.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
+    keep = [c for c in others(docs, ("n_lines", "n_dropped")) if c.lower() != text_col.lower()]
+    name = next(c for c in docs.columns if c.lower() == text_col.lower())
+    d = docs.select(F.struct(F.lit(1).alias("one"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).alias("row"), F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    d = d.withColumn("hash", F.xxhash64("text"))
+    keyed = d.select("id", "hash", F.posexplode(F.transform(_lines(F.col("text")), lambda x: _key_hash(x, min_chars))).alias("pos", "key")).filter(F.col("key").isNotNull())
+    once = keyed.groupBy("key", "id").agg(F.count("*").alias("n"))
+    seen = once.groupBy("key").agg(F.count("*").alias("docs"), F.min("id").alias("keeper"), F.sum("n").alias("weight"))
+    seen = stored(seen.filter(F.col("docs") >= min_docs).drop("docs"), "line-keys")
+    found = lookup(keyed, seen, "key", "weight", F.unhex(F.md5(F.concat_ws(":", "id", "pos"))))
+    drops = found.filter(F.col("keeper").isNotNull() & (F.col("keeper") != F.col("id"))).groupBy("id", "hash").agg(F.collect_set("pos").alias("drops"))
+    # Texts without a line to lose meet nothing, so these need not be one join key.
+    d = d.withColumn("id", F.when(F.length(F.coalesce("text", F.lit(""))) < min_chars, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(100_003))).otherwise(F.col("id")))
+    d = d.join(drops, ["id", "hash"], "left").withColumn("lines", _lines(F.col("text")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
+    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
+    dropped = F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size("drops"))
+    at = {c: f"row.c{i}" for i, c in enumerate(keep)}
+    old = [text.alias(c) if c == name else F.col(at[c]).alias(c) for c in docs.columns if c == name or c in at]
+    return d.select(*old, F.size("lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -62,14 +62,14 @@ def _piece(a: np.ndarray, stops: np.ndarray, case: bytes) -> tuple[np.ndarray, n
 
 
 def _long(a: np.ndarray, case: bytes) -> np.ndarray:
-    """Word hashes of a text of over _PIECE bytes, in pieces cut at white space; a longer word is hashed by its pieces."""
+    """Word hashes of a text of at least _PIECE bytes, in pieces cut at white space; a word of at least that size is hashed by its pieces, wherever it stands."""
     inside, out, at, none = _tables(case)[1], [], 0, np.zeros(0, np.int64)
     while at < len(a):
         end = min(at + _PIECE, len(a))
-        if end < len(a):
+        if end == at + _PIECE:
             gaps = np.flatnonzero(~inside[a[at:end]])
             if len(gaps):
-                end = at + int(gaps[-1]) + 1
+                end = at + int(gaps[-1]) + 1 if end < len(a) else end
             else:
                 h = np.zeros(1, np.uint64)
                 while at < len(a) and inside[a[at]]:
@@ -94,7 +94,7 @@ def each_words(texts: pa.Array, case: bytes = CASE) -> Iterator[np.ndarray]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + _PIECE, "right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + _PIECE - 1, "right")) - 1
         j = min(max(j, i), n)
         if j == i:
             yield _long(data[offsets[i] : offsets[i + 1]], case)

@@ -19,6 +19,10 @@ from granary.llm.common import lookup, stored
 CRLF = "\r\n"
 FILE_BYTES = 16_000_000
 BLOCK_LINES = 3000
+#: Bytes of blocks that one range of an index file holds; ranges without a wanted block are not read.
+GROUP_BYTES = 1 << 20
+#: Blocks whose numbers go to the reader, which then skips all others; where more are wanted, nearly every range has one.
+MOST_NAMED = 1000
 #: Groups of equal payloads, and index blocks, that are broadcast at most; more of them are joined by shuffling.
 BROADCAST_GROUPS, BROADCAST_BLOCKS = 200_000, 500_000
 #: What a URL starts with: scheme, user and host; the rest follows.
@@ -59,7 +63,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, id_col: str
 
     Of records with equal payloads of at least `least` bytes, that with the largest page_id is the response and the others are
     revisits without payload. A null html is an empty payload; a null url gives no target; a null id is written `none` and never referred to.
-    Rows that repeat the largest id of a group are responses all.
+    Rows that repeat the largest id of a group are responses all. Very long payloads are written whole (readers take files of up to 2 GB, so one
+    record has less). An empty table gives empty archives. Other columns of pages are not looked at.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
@@ -117,7 +122,7 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_index(records: DataFrame, folder: str) -> None:
-    """Sorts captures by key over shards and writes blocks of BLOCK_LINES of them: shard, block, first (key), n and data (zlib of JSON lines)."""
+    """Sorts captures by key over shards and writes blocks of BLOCK_LINES of them: shard, block, first (key), n and data (zlib of JSON lines). A shard is a folder, and its file has ranges of GROUP_BYTES whose block numbers its footer tells."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, held, first = TaskContext.get().partitionId(), 0, [], ""
@@ -137,18 +142,19 @@ def write_index(records: DataFrame, folder: str) -> None:
         if held:
             yield out()
 
-    records.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(pack, "shard long, block long, first string, n long, data binary").write.parquet(folder)
+    blocks = records.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(pack, "shard long, block long, first string, n long, data binary")
+    blocks.write.option("parquet.block.size", GROUP_BYTES).partitionBy("shard").parquet(folder)
 
 
 def find_captures(wanted: DataFrame, folder: str) -> DataFrame:
     """All captures of the keys in wanted (a column `key`; repeats count once), by the index in folder.
 
     The directory - first keys of all blocks, one line for BLOCK_LINES captures - is searched by bisection for the blocks that may hold
-    a key; only these are unpacked, and searched by bisection again. Keys without a capture give no row. A key with captures in many
+    a key; of the index files only the ranges with these are read, they are unpacked and searched by bisection again. Keys without a capture give no row. A key with captures in many
     blocks is looked up in each, in different tasks.
     """
     spark = wanted.sparkSession
-    index = spark.read.parquet(folder)
+    index = spark.read.schema("shard long, block long, first string, n long, data binary").parquet(folder)
     keys = wanted.select(F.coalesce("key", F.lit("")).alias("key")).distinct()
     if index.count() <= BROADCAST_BLOCKS:
         directory = sorted((r["first"], r.shard, r.block) for r in index.select("first", "shard", "block").collect())
@@ -171,6 +177,7 @@ def find_captures(wanted: DataFrame, folder: str) -> DataFrame:
         near = near.withColumn("shard", F.array(*(F.lit(r.shard) for r in ends))[F.col("_s") - 1]).select("key", "shard")
         after = F.lead("first").over(Window.partitionBy("shard").orderBy("block"))
         at = near.join(index.select("shard", "block", "first").withColumn("after", after), "shard").filter("first <= key and (after is null or after >= key)").select("key", "shard", "block")
+    at = stored(at, "wanted-blocks")
     asked = at.groupBy("shard", "block", F.pmod(F.xxhash64("key"), F.lit(8)).alias("part")).agg(F.collect_list("key").alias("keys"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +190,9 @@ def find_captures(wanted: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("key", "file", "record_type", "payload_digest") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
+    named = at.select("shard", "block").distinct().limit(MOST_NAMED + 1).collect()
+    if len(named) <= MOST_NAMED:  # only speed depends on this
+        index = index.filter(F.col("shard").isin(sorted({r.shard for r in named})) & F.col("block").isin(sorted({r.block for r in named})))
     return asked.join(index.select("shard", "block", "data"), ["shard", "block"]).select("keys", "data").mapInArrow(search, _LINE)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, score double, size long, node long, key string, h long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, score double, size long, node long, key string, h long, _q string, _tox string, _lang string, _id string, _base string, _spans string, _more string, row string, Kept string, Toxicity string"
 PAGES = "page_id long, url string, html string, text string, key string, digest string, n long"
 
 
@@ -29,7 +29,7 @@ def docs(spark: SparkSession) -> DataFrame:
         (11, "z" * 300_000, "en", "a"),
         (12, "12345 éÉ \U0001f600 mail me@a.example.com +1 (017) 555-7713", "fr", "b"),
     ]
-    return spark.createDataFrame([(*r, None, 1, 0.5, 9, 9, "k", 1) for r in rows], DOCS)
+    return spark.createDataFrame([(*r, None, 1, 0.5, 9, 9, "k", 1, *["mine"] * 10) for r in rows], DOCS)
 
 
 def pages(spark: SparkSession) -> DataFrame:

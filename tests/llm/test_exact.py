@@ -164,6 +164,43 @@ def test_signature_tree_keeps_all_pairs():
     assert want and want <= found and len(found) < len(sets) * (len(sets) - 1) // 2
 
 
+def test_ngram_join_finds_links_by_trees_alone(spark, monkeypatch):
+    rows = [(i, cases.words(60, f"g{i // 2}-") + " end" * (i % 2)) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_components(d).collect())) == joined(rows)
+    monkeypatch.setattr(ngram_join, "_blocks", lambda rows, hopeful: spark.createDataFrame([], "block long, a long, b long, sure boolean"))
+    assert {r.component_id for r in ngram_join.ngram_components(d).collect()} == set(range(20))
+
+
+def test_ngram_join_blocks_of_many_tiles_and_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    monkeypatch.setattr(ngram_join, "LEAST_HOT", 3)
+    monkeypatch.setattr(ngram_join, "SURE", 0.7)  # so that pairs taken as sure prove wrong
+    r, rows = random.Random(11), []
+    base = cases.words(50).split()
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(5)):
+            w[r.randrange(50)] = f"x{r.randrange(20)}"
+        rows.append((i, " ".join(w)))
+    d = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, d.collect())) == joined(rows)
+
+
+def test_ngram_join_texts_of_one_id(spark):
+    a, b = cases.words(30, "a"), cases.words(30, "b")
+    rows = [(5, a), (5, b), (3, a), (9, b + " x"), (None, cases.words(30, "n")), (None, cases.words(30, "m")), (8, cases.words(30, "m") + " x")]
+    d = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in d if r.doc_id is not None) == [(3, 3), (5, 3), (5, 3), (8, 8), (9, 3)]
+    assert sorted(str(r.component_id) for r in d if r.doc_id is None) == ["8", "None"]
+
+
+def test_long_words_hash_alike_wherever_they_stand():
+    word = "z" * (1 << 18)
+    for w in (word, word + "z", word[1:]):
+        assert shingle_set(f"a {w}").tolist() == shingle_set(f"a {w} ").tolist() == shingle_set(f"a\n{w}\n\n").tolist()
+
+
 def test_components(spark):
     r, edges = random.Random(2), [(i, i + 1) for i in range(40)]
     edges += [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(500, x) for x in range(501, 540)] + [(7, 7)]
@@ -202,6 +239,7 @@ def test_pii_base(spark, docs):
         want = spans(x.text) if len(x.text or "") < 60_000 else []  # the longest texts hold nothing, and the plain patterns take a minute to see it
         assert [tuple(s) for s in x.pii_base] == want == [tuple(s) for s in x.pii_spans]
     assert pii.find(docs.limit(0), pii.Trees()).isEmpty()
+    assert {tuple(r) for r in pii.find(docs, pii.Trees()).select("_base", "_spans", "_more", "row", "Kept").collect()} == {("mine",) * 5}
     one = next(x for x in out if x.text and "me@a.example.com" in x.text)
     assert one.redacted.endswith("mail [EMAIL] [PHONE]")
 
@@ -232,7 +270,7 @@ def test_pii_trees_add_national_numbers_and_spelled_addresses(spark):
 def test_pii_long_candidates_are_whole(spark):
     texts = [f"token: {'a1' * 5000} end", f"{'j' * 200} [at] {'e' * 100} [dot] com end"]
     out = pii.candidates(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
-    assert {(s.kind, s.m) for x in out for s in x._spans} == {("secret", "a1" * 5000), ("email", texts[1].removesuffix(" end"))}
+    assert {(s.kind, s.m) for x in out for s in x.spans} == {("secret", "a1" * 5000), ("email", texts[1].removesuffix(" end"))}
 
 
 def counts(text):
@@ -255,6 +293,8 @@ def test_quality_counts(spark, docs):
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) == counts(x.text)
         assert not (x.kept and x.base_failed)
     assert quality.assess(docs.limit(0)).isEmpty()
+    own = quality.assess(docs)
+    assert "Kept" not in own.columns and {tuple(r) for r in own.select("_q", "_lang", "row", "Toxicity").collect()} == {("mine",) * 4}
 
 
 def test_quality_tokens_and_verdict(spark):

@@ -42,6 +42,15 @@ def test_language_id_rejects_other_scripts(spark):
     assert language_id.identify(far, model).first().lang_rejected and not language_id.identify(d, model).first().lang_rejected
 
 
+def test_language_id_rejects_a_language_not_learnt(spark):
+    docs = table(spark, SF, "documents").filter("text is not null")
+    for lang in ("en", "fr"):
+        model = language_id.fit(docs.filter(F.col("lang") != lang))
+        d = language_id.identify(docs.filter("length(text) > 300"), model).groupBy((F.col("lang") == lang).alias("foreign")).agg(F.avg(F.col("lang_rejected").cast("int")).alias("share")).collect()
+        share = {r.foreign: r.share for r in d}
+        assert share[True] > 0.8 and share[False] < 0.03
+
+
 def test_toxicity(spark):
     d = queries.op1_toxicity(spark, SF).join(table(spark, SF, "documents").select("doc_id", "text"), "doc_id").collect()
     bad = re.compile(r"\b(?:trash|pathetic|idiot|worthless|disgusting|stupid|clown|loser|scum|moron)\b", re.I)  # what the made-up documents are labelled for
@@ -51,6 +60,16 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in d)
 
 
+def test_toxicity_of_long_calm_texts(spark):
+    model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    for sentence in ("the calm river runs to the sea. ", "On the inand of the erth. ", " . "):
+        scores = [model.sentences(sentence * n)[0] for n in (1, 100, 1000, 5000)]
+        assert max(scores) < 0.5 and scores[3] <= scores[0] + 0.01
+    assert model.sentences("A. B. ")[1] == 2
+    hit = next(w for w, x in sorted(model.weights.items(), key=lambda i: -i[1]))
+    assert model.sentences("the calm river. " * 500 + hit + ".")[0] >= model.sentences("the calm river. " * 500)[0]
+
+
 def test_toxicity_locates_sentences(spark, docs):
     r, rows, labels = random.Random(1), [], []
     plain = [f"word{i}" for i in range(40)]
@@ -135,6 +154,17 @@ def test_decontamination_recall_by_size(n, k):
     assert sum(share) / 3 >= 0.94 and min(share) >= 0.91  # 600 copies have a standard error of 0.009, 200 of 0.015
 
 
+def test_decontamination_tells_where_matches_begin():
+    item = cases.words(20, "i").split()
+    for n, changed in ((20, item), (22, item[:5] + ["x", "y"] + item[5:]), (18, item[:5] + item[7:]), (20, item[:9] + ["x"] + item[10:])):
+        index = decontamination.build_index([(7, " ".join(item))], 0.2, 0.95)
+        text = " ".join(["p", "q", "r", *changed, "s", "t"])
+        assert [x[1:4] for x in decontamination.search(pa.array([text]), index)] == [(7, 3, 3 + n)]
+    long = cases.words(500, "l").split()  # no walks for these
+    index = decontamination.build_index([(7, " ".join(long))], 0.2, 0.95)
+    assert [x[1:4] for x in decontamination.search(pa.array([" ".join(["p", "q", *long[:50], "x", "y", *long[50:], "s"])]), index)] == [(7, 2, 504)]
+
+
 def test_decontamination_blocks_and_awkward_rows(spark, docs, monkeypatch):
     items = spark.createDataFrame([(1, cases.words(20)), (2, None), (3, ""), (None, "x y z"), (4, cases.words(20, "long")), (5, "ONE, two!")], "item_id long, text string")
     want = {(1, 1), (3, 1), (4, 1), (8, 5), (9, 5), (10, 4)}
@@ -184,6 +214,29 @@ def test_main_text_without_article_element():
     assert html_text.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
+def test_main_text_without_article_class_and_id(spark):
+    kept = all_ = other = changed = 0
+    for r in table(spark, SF, "pages").limit(100).collect():
+        whole = html_text.main_text(r.html).split("\n")
+        bare = re.sub(r'\s(?:class|id)="[^"]*"', "", re.sub("</?article>", "", r.html))
+        found = html_text.main_text(bare)
+        kept += sum(len(x) for x in whole if x in found.split("\n"))
+        all_ += sum(map(len, whole))
+        other += sum(len(x) for x in found.split("\n") if x not in whole)
+        changed += html_text.main_text(bare, threshold=1e-12) != found
+        assert html_text.main_text(r.html, threshold=1e9) == ""
+        for before, after in ((r"<body>(.*)</body>", r"<body><form>\1</form></body>"), (r"<article>(.*)</article>", r'<div class="story-share-free">\1</div>')):
+            assert html_text.main_text(re.sub(before, after, r.html, flags=re.S)).split("\n") == whole
+    assert kept >= 0.95 * all_ and other <= 0.02 * all_ and changed >= 50
+
+
+def test_main_text_of_quoted_signs_and_tables():
+    assert html_text.main_text('<p>My <a title="1<2">friend</a> says that 3 &gt; 2, at length.</p>') == "My friend says that 3 > 2, at length."
+    assert html_text.main_text("<p title=it's>One, with some words.</p><p>Two isn't the same, is it?</p>") == "One, with some words.\nTwo isn't the same, is it?"
+    page = "<div><h2>Head</h2><p>" + "A paragraph, of some length. " * 9 + "</p><table><tr><td>1</td><td>2</td></tr></table><p>" + "Another one, as long as that. " * 9 + "</p></div>"
+    assert html_text.main_text(page).split("\n")[0] == "Head" and html_text.main_text(page).split("\n")[2:4] == ["1", "2"]
+
+
 def test_html_awkward(spark):
     pages = cases.pages(spark)
     out = html_text.extract(pages)
@@ -209,6 +262,10 @@ def test_warc_round_trip(spark, monkeypatch):
     some = spark.createDataFrame([("com,example,a,www)/x?y",), ("nothing",), (None,)], "key string")
     want = {1, 2, 3}
     assert {r.page_id for r in warc.find_captures(some, f"{folder}/index").collect()} == want
+    plan = warc.find_captures(some, f"{folder}/index")._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*shard", plan) and re.search(r"PushedFilters: \[[^\]]*block", plan)
+    monkeypatch.setattr(warc, "MOST_NAMED", 0)
+    assert {r.page_id for r in warc.find_captures(some, f"{folder}/index").collect()} == want
     monkeypatch.setattr(warc, "BROADCAST_BLOCKS", 0)
     assert {r.page_id for r in warc.find_captures(some, f"{folder}/index").collect()} == want
 
