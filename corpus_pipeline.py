@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontamination, language_id
-from granary.llm.common import stored, table
+from granary.llm.common import fresh, stored, table
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.mixing import mix
 from granary.llm.ngram_join import ngram_components
@@ -17,9 +17,10 @@ BROADCAST_IDS = 1_000_000
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """docs but those with one of ids; rows without an id stay."""
-    ids = stored(ids.select(F.col("doc_id").alias("_id")).distinct(), name)
+    gone = fresh("id", docs)
+    ids = stored(ids.select(F.col("doc_id").alias(gone)).distinct(), name)
     ids = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
