@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from granary.session import session
 from granary.sources import sinks
 
 
+#: Rows that go to the screen.
+SHOWN = 1000
+
+
 def _read(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
     """Tables by name, from arguments NAME=PATH."""
     return {n: spark.read.parquet(p) for n, _, p in (x.partition("=") for x in paths)}
@@ -28,7 +33,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         return tables.unionByName(columns.select(tables.columns)).orderBy("table_name", "step", "what")
     if args.command == "dump":
         df = spark.read.parquet(args.path)
-        return sinks.json_rows(df) if args.json else sinks.insert_batches(df, args.name, args.key, args.batch, args.dialect).orderBy("part", "batch").select("statement")
+        return sinks.json_dump(df, args.schema, args.name) if args.json else sinks.insert_batches(df, args.name, args.key, args.batch, args.dialect).orderBy("part", "batch").select("statement")
     old, new = spark.read.parquet(args.old_path), spark.read.parquet(args.new_path)
     key = rowdiff.key_of(args.name, new, args.key)
     repeated = rowdiff.duplicates(old, key)
@@ -39,7 +44,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | None:
         return changes
     if args.command == "data-plan":
         return sinks.change_statements(changes, args.name, key, args.dialect).orderBy(*key)
-    sinks.write_version(rowdiff.apply_changes(old, changes, key), args.out)
+    rowdiff.apply_changes(old, changes, key).write.parquet(args.out)
     return None
 
 
@@ -51,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
     x = sub.add_parser("plan", help="schema changes from old to new tables")
     for side in ("--old", "--new"):
         x.add_argument(side, nargs="+", required=True, metavar="NAME=PATH")
-    for name, what in (("data-diff", "changed rows"), ("data-plan", "statements that change them"), ("apply", "write the changed table's next version")):
+    for name, what in (("data-diff", "changed rows"), ("data-plan", "statements that change them"), ("apply", "write the changed table to a new folder")):
         x = sub.add_parser(name, help=what)
         x.add_argument("name")
         x.add_argument("old_path")
@@ -66,9 +71,10 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--key", nargs="+", required=True)
     x.add_argument("--batch", type=int, default=1000)
     x.add_argument("--json", action="store_true")
+    x.add_argument("--schema", default="public", help="for the header of JSON")
     for x in sub.choices.values():
         x.add_argument("--dialect", choices=("ansi", "postgres", "oracle"), default="ansi")
-        x.add_argument("--write", help="folder for the result, as JSON; it is shown else")
+        x.add_argument("--write", help=f"folder for the whole result, as JSON; else its first {SHOWN} rows are shown")
     return p
 
 
@@ -78,7 +84,11 @@ def main(argv: list[str] | None = None) -> None:
     if out is not None and args.write:
         out.write.json(args.write)
     elif out is not None:
-        out.show(1000, truncate=False)
+        for row in out.limit(SHOWN + 1).collect()[:SHOWN]:
+            print("\t".join("" if v is None else str(v) for v in row))
+        rest = out.count() - SHOWN
+        if rest > 0:
+            print(f"{rest} more rows are not shown; --write FOLDER writes all", file=sys.stderr)
 
 
 if __name__ == "__main__":

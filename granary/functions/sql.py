@@ -21,6 +21,16 @@ def cast_with_mask(column: Column, kind: str, text: str) -> Column:
     return F.to_date(column, mask(text)) if kind.upper() == "DATE" else F.to_timestamp_ntz(column, F.lit(mask(text)))
 
 
+def to_char(column: Column, text: str) -> Column:
+    """A time as text by a format mask."""
+    return F.date_format(column, mask(text))
+
+
+def to_number(column: Column, kind: str = "decimal(38,10)") -> Column:
+    """The number that a text is; null if it is none."""
+    return F.trim(column).try_cast(kind)
+
+
 def trunc(column: Column) -> Column:
     """TRUNC of a time: its day."""
     return F.to_date(column)

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class DiffError(ValueError):
@@ -64,38 +65,47 @@ def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def diff_tables(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, Sequence[str]], deletes: bool = True) -> DataFrame:
-    """The changes of several tables in one long table: table_name, op, row_key (JSON), changed. Tables that can't be compared are all reported in one error."""
+def diff_tables(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, Sequence[str]], deletes: bool = True, fall_back: bool = False) -> DataFrame:
+    """The changes of several tables in one long table: table_name, op, row_key (JSON), changed.
+
+    Tables that can't be compared, as they have no key, are all reported in one error; with `fall_back` each of their new rows is an
+    INSERT instead, with the whole row as row_key, and the other tables are compared as ever.
+    """
     parts, errors = [], []
     for name in sorted(set(old) | set(new)):
         a, b = old.get(name), new.get(name)
         a, b = a if a is not None else b.limit(0), b if b is not None else a.limit(0)
+        row = lambda columns: F.to_json(F.struct(*columns)).alias("row_key")
         try:
             key = key_of(name, b, keys.get(name))
-            parts.append(diff(a, b, key, deletes).select(F.lit(name).alias("table_name"), "op", F.to_json(F.struct(*key)).alias("row_key"), "changed"))
+            parts.append(diff(a, b, key, deletes).select(F.lit(name).alias("table_name"), "op", row(key), "changed"))
         except DiffError as e:
-            errors.append(str(e))
+            if fall_back:
+                parts.append(b.select(F.lit(name).alias("table_name"), F.lit("INSERT").alias("op"), row(b.columns), F.lit(None).cast("array<string>").alias("changed")))
+            else:
+                errors.append(str(e))
     if errors:
         raise DiffError("; ".join(errors))
     return reduce(DataFrame.unionByName, parts)
 
 
 def apply_changes(old: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The new state: old without the keys that changes name, and the rows that they insert or update."""
-    named = changes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)))
-    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)))
-    put = changes.filter("op <> 'DELETE'").select(*key, "new.*")
-    return old.join(named, on, "left_anti").unionByName(put, allowMissingColumns=True)
-
-
-def summary(changes: DataFrame) -> DataFrame:
-    """How many rows each operation touches."""
-    return changes.groupBy("op").agg(F.count("*").alias("n"))
+    """The new state: old, whose keys are unique, without the rows to delete and with those that changes insert or update. One full outer join; columns that a side lacks are null."""
+    fields = changes.schema["new"].dataType
+    others = [f.name for f in fields.fields] if isinstance(fields, T.StructType) else []
+    kept = [c for c in old.columns if c not in key]
+    a = old.select(*(F.col(k).alias(f"ok{i}") for i, k in enumerate(key)), F.struct(F.lit(True).alias("_there"), *kept).alias("o"))
+    b = changes.select(*(F.col(k).alias(f"nk{i}") for i, k in enumerate(key)), "op", *(["new"] if others else []))
+    on = reduce(lambda x, y: x & y, (F.col(f"ok{i}").eqNullSafe(F.col(f"nk{i}")) for i in range(len(key))))
+    stays = F.col("op").isNull()
+    keys = {k: F.when(stays, F.col(f"ok{i}")).otherwise(F.col(f"nk{i}")) for i, k in enumerate(key)}
+    value = lambda c: F.when(stays, F.col("o")[c] if c in kept else F.lit(None)).otherwise(F.col("new")[c] if c in others else F.lit(None))
+    j = a.join(b, on, "full_outer").filter(stays | (F.col("op") != "DELETE"))
+    return j.select(*((keys[c] if c in keys else value(c)).alias(c) for c in [*old.columns, *(c for c in others if c not in old.columns)]))
 
 
 def row_hash_compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows that only one side has, by how often: (side, n_rows). Compared as whole rows, repeats counted."""
-    a = old.groupBy(*old.columns).agg(F.count("*").alias("_n"))
-    b = new.select(*old.columns).groupBy(*old.columns).agg(F.count("*").alias("_n"))
-    both = a.withColumn("_s", F.col("_n")).unionByName(b.withColumn("_s", -F.col("_n"))).groupBy(*old.columns).agg(F.sum("_s").alias("_s")).filter("_s <> 0")
-    return both.groupBy(F.when(F.col("_s") > 0, "old").otherwise("new").alias("side")).agg(F.sum(F.abs("_s")).alias("n_rows"))
+    """Rows that only one side has, by how often: (side, n_rows). Compared as whole rows, repeats counted, in one aggregation."""
+    marked = lambda d, n: d.select(F.struct(*old.columns).alias("row"), F.lit(n).alias("n"))
+    both = marked(old, 1).union(marked(new, -1)).groupBy("row").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return both.groupBy(F.when(F.col("n") > 0, "old").otherwise("new").alias("side")).agg(F.sum(F.abs("n")).alias("n_rows"))

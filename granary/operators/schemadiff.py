@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +21,13 @@ def normal_type(kind: Column) -> Column:
     return F.when(k == "NUMBER(10)", "INTEGER").otherwise(k)
 
 
-def diff(old: DataFrame, new: DataFrame, key: Sequence[str], compare: Sequence[str] = ()) -> DataFrame:
-    """(op, key, change) for each key to ADD, DROP or MODIFY; `change` describes what differs, nulls being equal."""
+def diff(old: DataFrame, new: DataFrame, key: Sequence[str], compare: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
+    """(op, key, change) for each key to ADD, DROP or MODIFY; `change` describes what differs, nulls being equal. With `within`, only where both sides have rows with these columns."""
     a, b = old.select(*key, F.struct(F.lit(1).alias("_one"), *compare).alias("_o")), new.select(*key, F.struct(F.lit(1).alias("_one"), *compare).alias("_n"))
     j = a.join(b, list(key), "full_outer")
+    if within:  # a table's columns are a small group
+        by = Window.partitionBy(*within)
+        j = j.withColumns({"_a": F.max("_o._one").over(by), "_b": F.max("_n._one").over(by)}).filter("_a = 1 and _b = 1")
     text = lambda x: F.coalesce(x.cast("string"), F.lit("NULL"))
     parts = [F.when(~F.col("_o")[c].eqNullSafe(F.col("_n")[c]), F.concat(F.lit(f"{c}: "), text(F.col("_o")[c]), F.lit(" -> "), text(F.col("_n")[c]))) for c in compare]
     change = F.concat_ws(", ", *parts) if parts else F.lit("")
@@ -46,17 +48,16 @@ def _columns(catalog: DataFrame) -> DataFrame:
 
 def diff_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     """Catalogs with table_name, column_name, sql_type, nullable, default_text and, if wanted, is_pk (which implies NOT NULL): columns added, dropped and modified in tables that both have."""
-    both = old.select(normal_name(F.col("table_name")).alias("table_name")).distinct().join(new.select(normal_name(F.col("table_name")).alias("table_name")).distinct(), "table_name")
-    return diff(_columns(old), _columns(new), ["table_name", "column_name"], ["type", "nullable", "default"]).join(both, "table_name", "left_semi")
+    return diff(_columns(old), _columns(new), ["table_name", "column_name"], ["type", "nullable", "default"], ["table_name"])
 
 
 def diff_constraints(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Catalogs with table_name, kind, name and definition. Primary keys compare by table; others by name, and unnamed ones aren't compared. What is modified is dropped and added."""
+    """Catalogs with table_name, kind, name and definition. Primary keys compare by table, with their names, of which those that a system made (SYS_C...) count as none; others compare by name, and unnamed ones aren't compared. What is modified is dropped and added."""
     def named(c: DataFrame) -> DataFrame:
         pk = F.col("kind") == "PRIMARY KEY"
-        return c.filter(pk | F.col("name").isNotNull()).select(normal_name(F.col("table_name")).alias("table_name"), "kind", F.when(pk, F.lit("")).otherwise(normal_name(F.col("name"))).alias("name"), "definition")
+        return c.filter(pk | F.col("name").isNotNull()).select(normal_name(F.col("table_name")).alias("table_name"), "kind", F.when(pk, F.lit("")).otherwise(normal_name(F.col("name"))).alias("name"), "definition", F.when(pk & ~F.upper("name").startswith("SYS_C"), F.upper("name")).alias("pk_name"))
 
-    d = diff(named(old), named(new), ["table_name", "kind", "name"], ["definition"])
+    d = diff(named(old), named(new), ["table_name", "kind", "name"], ["definition", "pk_name"])
     ops = F.when(F.col("op") == "MODIFY", F.array(F.lit("DROP"), F.lit("ADD"))).otherwise(F.array("op"))
     return d.select(F.explode(ops).alias("op"), "table_name", "kind", "name")
 
@@ -76,6 +77,31 @@ def diff_comments(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "table_name").filter(~F.col("old_comment").eqNullSafe(F.col("new_comment")))
 
 
+def diff_column_comments(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Catalogs with table_name, column_name and comment: comments that differ, of columns that both have; nulls are equal."""
+    names = [normal_name(F.col(c)).alias(c) for c in ("table_name", "column_name")]
+    a, b = (x.select(*names, F.col("comment").alias(c)) for x, c in ((old, "old_comment"), (new, "new_comment")))
+    return a.join(b, ["table_name", "column_name"]).filter(~F.col("old_comment").eqNullSafe(F.col("new_comment")))
+
+
+# Options that a table has if nothing is said.
+DEFAULT_OPTIONS = {"tablespace": "USERS", "pct_free": 10, "ini_trans": 1, "max_trans": 255, "logging": True, "cache": False, "row_movement": False}
+
+
+def strip_default_options(options: DataFrame) -> DataFrame:
+    """Null for options that have their default, so that they don't count as differences; columns are named as in DEFAULT_OPTIONS, others stay."""
+    return options.withColumns({c: F.nullif(c, F.lit(v)) for c, v in DEFAULT_OPTIONS.items() if c in options.columns})
+
+
+def derived_tables(catalog: DataFrame, flags: DataFrame, audit: Sequence[str] = ("aud_user", "aud_time")) -> DataFrame:
+    """(table_name, column_name, source_table) of the tables derived from those of a catalog: <name>_AT has their columns and the audit columns; <name>_HT has their columns and is derived only where flags (table_name, flag) has Y."""
+    base = catalog.select("table_name", "column_name")
+    history = base.join(flags.filter("flag = 'Y'").select("table_name").distinct(), "table_name", "left_semi").withColumn("suffix", F.lit("_HT"))
+    more = base.select("table_name").distinct().select("table_name", F.explode(F.array(*map(F.lit, audit))).alias("column_name"))
+    every = base.union(more).withColumn("suffix", F.lit("_AT")).unionByName(history)
+    return every.select(F.concat("table_name", "suffix").alias("table_name"), "column_name", F.col("table_name").alias("source_table"))
+
+
 def column_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """For each table with differing columns, the list of these with what differs, in order of their names."""
     d = diff_columns(old, new)
@@ -131,6 +157,3 @@ def read_as(df: DataFrame, catalog: Sequence[tuple[str, str]]) -> DataFrame:
     """df's columns cast to the types that a catalog (column, SQL type) gives them."""
     return df.select(*(F.col(c).cast(spark_type(t)).alias(c) for c, t in catalog))
 
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

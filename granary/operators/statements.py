@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 NOISE = ("Set", "Prompt", "Select", "Commit")
 DROPPED_WITH_TABLE = ("Insert", "Update", "Delete", "AlterTable", "CreateIndex")
 PRIORITY = {"CreateTable": 0, "CreateIndex": 1, "CreateView": 2, "AlterTable": 4, "Grant": 5, "Revoke": 6, "Insert": 7, "Update": 8, "Delete": 9, "Comment": 10, "DropTable": 13}
-SYNC_PRIORITY = {"DropTable": 0, "DropIndex": 1, "AlterTable": 2, "CreateTable": 3, "CreateIndex": 4, "Delete": 5, "Update": 6, "InsertRow": 7, "Insert": 8}
+SYNC_PRIORITY = {"DropTable": 0, "DropIndex": 1, "AlterTable": 2, "CreateTable": 3, "CreateIndex": 4, "DeleteRow": 5, "UpdateRow": 6, "InsertRow": 7, "Insert": 8}
+SYNC_OTHER = 9
 
 
 def priority(kind: Column, order: dict[str, int] = PRIORITY, other: int = 99) -> Column:
@@ -86,6 +87,13 @@ def last_per_table(log: DataFrame, kind: str = "CreateTable") -> DataFrame:
     return log.filter(F.col("type") == kind).groupBy("table_name").agg(F.max_by(F.struct(*rest), "pos").alias("_s")).select("table_name", "_s.*")
 
 
-def numbered(log: DataFrame, by: str, order: str) -> DataFrame:
-    """Rows with their place within `by`, from 1."""
-    return log.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+def ranked(log: DataFrame, order: dict[str, int] = PRIORITY, other: int = 99, ranges: int = 1024) -> DataFrame:
+    """log with `prio` and `place`, from 1, in the order by priority and pos. Places come from counts of ranges of pos for each priority and from row numbers within these, so that no task numbers a whole priority."""
+    d = log.withColumn("prio", priority(F.col("type"), order, other))
+    ends = d.agg(F.min("pos").alias("_low"), F.max("pos").alias("_high"))  # one row
+    d = d.join(F.broadcast(ends)).withColumn("_range", F.floor((F.col("pos") - F.col("_low")).cast("double") * ranges / (F.col("_high") - F.col("_low") + 1))).drop("_low", "_high")
+    before = Window.orderBy("prio", "_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each priority and range
+    counts = d.groupBy("prio", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    d = d.join(F.broadcast(counts), ["prio", "_range"])  # `ranges` rows for each priority
+    place = F.row_number().over(Window.partitionBy("prio", "_range").orderBy("pos")) + F.col("_before")
+    return d.withColumn("place", place.cast("bigint")).drop("_range", "_before")

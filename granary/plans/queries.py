@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import sql as fn
-from granary.operators import dml, joins, rowdiff, schemadiff, statements
+from granary.operators import dml, joins, paging, rowdiff, schemadiff, statements
 from granary.sources import sinks
-from granary.sources.tables import one_row, table
+from granary.sources.tables import one_row, table, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -187,9 +187,9 @@ def q_cast_format(t):
     return t.orders.select("o_orderkey", fn.cast_with_mask(F.date_format("o_orderdate", fn.mask("DD.MM.YYYY")), "DATE", "DD.MM.YYYY").cast("string").alias("day"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)")
 def q_scalar_subquery(t):
-    mean = t.orders.agg((2 * F.avg("o_totalprice")).alias("limit"))
+    mean = t.orders.agg((1.5 * F.avg("o_totalprice")).alias("limit"))
     return t.orders.join(F.broadcast(mean), c("o_totalprice") > c("limit")).select("o_orderkey", "o_totalprice")
 
 
@@ -214,6 +214,12 @@ def q_date_json_functions(t):
     return t.events.select("event_id", fn.trunc(c("ts")).cast("string").alias("day"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y %H:%M') AS at, TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE CAST(o_custkey AS VARCHAR) END AS BIGINT) AS n FROM orders")
+def q_conversions(t):
+    text = F.when(c("o_orderkey") % 3 == 0, c("o_orderstatus")).otherwise(c("o_custkey").cast("string"))
+    return t.orders.select("o_orderkey", fn.to_char(c("o_orderdate"), "DD.MM.YYYY HH24:MI").alias("at"), fn.to_number(text, "bigint").alias("n"))
+
+
 # Joins
 
 
@@ -434,7 +440,7 @@ def q_limit_offset(t):
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100")
 def q_offset_only(t):
-    return t.orders.select("o_orderkey").orderBy("o_orderkey").offset(100)
+    return paging.offset_rows(t.orders.select("o_orderkey"), ["o_orderkey"], 100)
 
 
 
@@ -459,6 +465,17 @@ def q_union_paren(t):
     return t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select(c("o_orderkey").alias("k")).union(t.lineitem.filter("l_quantity > 49").select("l_orderkey")).distinct()
 
 
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def q_exists(t):
+    return t.customer.select("c_custkey").join(t.orders.filter("o_totalprice > 300000"), c("c_custkey") == c("o_custkey"), "left_semi")
+
+
+@query("SELECT c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier ORDER BY v DESC, k LIMIT 25")
+def q_union_trailing_order(t):
+    every = t.customer.select(c("c_custkey").alias("k"), c("c_acctbal").alias("v")).union(t.supplier.select("s_suppkey", "s_acctbal"))
+    return every.orderBy(F.desc("v"), "k").limit(25)
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def q_set_difference(t):
     return t.customer.select("c_custkey").join(t.orders.filter("o_totalprice > 300000"), c("c_custkey") == c("o_custkey"), "left_anti")
@@ -483,7 +500,7 @@ _S = "s_suppkey, s_name, s_nationkey, s_acctbal"
 
 @query(f"SELECT {_S} FROM supplier UNION ALL SELECT 900001, 'New one', NULL, 0.0 UNION ALL SELECT 900002, 'New two', NULL, 0.0")
 def q_insert_values(t):
-    rows = t.spark.createDataFrame([(900001, "New one"), (900002, "New two")], "k long, n string")
+    rows = values(t.spark, [(900001, "New one"), (900002, "New two")], "k long, n string")
     return dml.insert(t.supplier, rows, ["s_suppkey", "s_name"], {"s_acctbal": F.lit(0.0)})
 
 
@@ -616,6 +633,16 @@ def q_rowdiff_tables(t):
     return d.groupBy("table_name", "op").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer)
+SELECT 'customer' AS table_name, 'UPDATE' AS op, '{"c_custkey":' || c_custkey || '}' AS row_key FROM customer o JOIN n USING (c_custkey) WHERE o.c_acctbal <> n.c_acctbal
+UNION ALL SELECT 'supplier', 'INSERT', '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' FROM supplier WHERE s_suppkey % 3 <> 0""")
+def q_rowdiff_fallback(t):
+    a, b = t.customer.select("c_custkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_name")
+    new = {"customer": a.withColumn("c_acctbal", F.when(c("c_custkey") % 13 == 0, 0.0).otherwise(c("c_acctbal"))), "supplier": b.filter("s_suppkey % 3 <> 0")}
+    return rowdiff.diff_tables({"customer": a, "supplier": b}, new, {"customer": ["c_custkey"]}, fall_back=True).drop("changed")
+
+
 @query(f"WITH {_NEW} SELECT 'old' AS side, CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders EXCEPT ALL SELECT * FROM new) UNION ALL SELECT 'new', count(*) FROM (SELECT * FROM new EXCEPT ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders)")
 def q_row_hash_compare(t):
     return rowdiff.row_hash_compare(*_states(t))
@@ -682,6 +709,23 @@ def q_schemadiff_constraints(t):
     return schemadiff.diff_constraints(_constraints(t, "event_id % 3 <> 0"), _constraints(t, "event_id % 3 <> 1"))
 
 
+_PK = "SELECT 'U' || CAST(user_id AS VARCHAR) AS table_name, CASE user_id % 3 WHEN 0 THEN 'PK' || CAST({0} AS VARCHAR) WHEN 1 THEN NULL END AS pk, CAST(CAST(floor(max(value) / 50) AS BIGINT) AS VARCHAR) AS definition FROM events WHERE event_type = 'click' AND {1} GROUP BY user_id"
+
+
+@query(f"""WITH o AS ({_PK.format('user_id % 2', 'event_id % 3 <> 0')}), n AS ({_PK.format('user_id % 4', 'event_id % 3 <> 1')}),
+j AS (SELECT coalesce(o.table_name, n.table_name) AS table_name, o.definition AS a, n.definition AS b, o.pk AS x, n.pk AS y FROM o FULL JOIN n USING (table_name)),
+d AS (SELECT * FROM j WHERE a IS DISTINCT FROM b OR x IS DISTINCT FROM y)
+SELECT 'DROP' AS op, table_name, 'PRIMARY KEY' AS kind FROM d WHERE a IS NOT NULL UNION ALL SELECT 'ADD', table_name, 'PRIMARY KEY' FROM d WHERE b IS NOT NULL""")
+def q_schemadiff_primary_keys(t):
+    def keys(where: str, number: Column, system: str) -> DataFrame:
+        g = t.events.filter(where).filter("event_type = 'click'").groupBy("user_id").agg(F.floor(F.max("value") / 50).cast("bigint").cast("string").alias("definition"))
+        name = F.when(c("user_id") % 3 == 0, F.concat(F.lit("pk"), number)).when(c("user_id") % 3 == 2, F.lit(system))
+        return g.select(F.concat(F.lit("u"), "user_id").alias("table_name"), F.lit("PRIMARY KEY").alias("kind"), name.alias("name"), "definition")
+
+    d = schemadiff.diff_constraints(keys("event_id % 3 <> 0", c("user_id") % 2, "SYS_C0011"), keys("event_id % 3 <> 1", c("user_id") % 4, "SYS_C0022"))
+    return d.drop("name")
+
+
 @query("""WITH i AS (SELECT 'T' || CAST(l_suppkey AS VARCHAR) AS table_name, CASE WHEN l_linenumber % 2 = 0 THEN 'I' || CAST(l_linenumber AS VARCHAR) END AS name, 'A,B' || CAST(l_linenumber AS VARCHAR) AS cols, max(l_quantity) > {0} AS u FROM lineitem GROUP BY l_suppkey, l_linenumber),
 k AS (SELECT table_name, coalesce(name, CASE WHEN u THEN 'uix_' ELSE 'ix_' END || lower(table_name) || '_' || replace(lower(cols), ',', '_')) AS name, cols, u FROM i),
 """.replace("{0}", "49.5") + """i2 AS (SELECT 'T' || CAST(l_suppkey AS VARCHAR) AS table_name, CASE WHEN l_linenumber % 2 = 0 THEN 'I' || CAST(l_linenumber AS VARCHAR) END AS name, 'A,B' || CAST(l_linenumber AS VARCHAR) AS cols, max(l_quantity) > 48.5 AS u FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY l_suppkey, l_linenumber),
@@ -706,6 +750,30 @@ def q_schemadiff_comments(t):
     return schemadiff.diff_comments(old, t.customer.filter("c_custkey % 9 <> 0").select(c("c_name").alias("table_name"), F.when(c("c_custkey") % 8 != 0, said).alias("comment")))
 
 
+_COM = "SELECT upper(table_name) AS table_name, upper(column_name) AS column_name, default_text AS x FROM ({})"
+
+
+@query(f"WITH o AS ({_COM.format(_OLD_CAT)}), n AS ({_COM.format(_NEW_CAT)}) SELECT table_name, column_name, o.x AS old_comment, n.x AS new_comment FROM o JOIN n USING (table_name, column_name) WHERE o.x IS DISTINCT FROM n.x")
+def q_schemadiff_column_comments(t):
+    return schemadiff.diff_column_comments(*(x.withColumnRenamed("default_text", "comment") for x in _catalogs(t)))
+
+
+@query("SELECT c_custkey, nullif(CASE c_nationkey % 3 WHEN 0 THEN 'USERS' ELSE c_mktsegment END, 'USERS') AS tablespace, nullif(c_nationkey, 10) AS pct_free, nullif(c_custkey % 3, 1) AS ini_trans, nullif(c_acctbal > 0, true) AS logging, nullif(c_acctbal > 5000, false) AS cache FROM customer")
+def q_default_options(t):
+    space = F.when(c("c_nationkey") % 3 == 0, "USERS").otherwise(c("c_mktsegment"))
+    options = t.customer.select("c_custkey", space.alias("tablespace"), c("c_nationkey").alias("pct_free"), (c("c_custkey") % 3).alias("ini_trans"), (c("c_acctbal") > 0).alias("logging"), (c("c_acctbal") > 5000).alias("cache"))
+    return schemadiff.strip_default_options(options)
+
+
+@query(f"""WITH k AS (SELECT table_name, column_name FROM ({_OLD_CAT})), a AS (SELECT DISTINCT table_name, unnest(['aud_user', 'aud_time']) AS column_name FROM k)
+SELECT table_name || '_AT' AS table_name, column_name, table_name AS source_table FROM (SELECT * FROM k UNION ALL SELECT * FROM a)
+UNION ALL SELECT table_name || '_HT', column_name, table_name FROM k WHERE CAST(substr(table_name, 2) AS BIGINT) % 5 = 0""")
+def q_history_tables(t):
+    old = _catalogs(t)[0]
+    flags = t.events.select(F.concat(F.lit("u"), c("user_id").cast("string")).alias("table_name"), F.when(c("user_id") % 5 == 0, "Y").otherwise("N").alias("flag"))
+    return schemadiff.derived_tables(old, flags)
+
+
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'TIMESTAMP' WHEN 1 THEN CASE WHEN p_size = 10 THEN 'INTEGER' ELSE 'NUMBER(' || CAST(p_size AS VARCHAR) || ')' END WHEN 2 THEN CASE WHEN p_size = 10 THEN 'INTEGER' ELSE 'NUMBER(' || CAST(p_size AS VARCHAR) || ')' END ELSE 'NUMBER(12,' || CAST(p_size AS VARCHAR) || ')' END AS kind FROM part")
 def q_type_normalise(t):
     size = c("p_size").cast("string")
@@ -762,9 +830,17 @@ def q_stmt_exclude(t):
 _PRIO = "CASE type WHEN 'CreateTable' THEN 0 WHEN 'AlterTable' THEN 4 WHEN 'Insert' THEN 7 WHEN 'Update' THEN 8 WHEN 'DropTable' THEN 13 ELSE 99 END"
 
 
-@query(f"WITH {_LOG} SELECT pos, type, {_PRIO} AS prio FROM log ORDER BY prio, pos LIMIT 500")
+@query(f"WITH {_LOG} SELECT pos, type, {_PRIO} AS prio, row_number() OVER (ORDER BY {_PRIO}, pos) AS place FROM log")
 def q_priority_sort(t):
-    return statements.sort(_log(t)).limit(500).select("pos", "type", statements.priority(c("type")).alias("prio"))
+    return statements.ranked(_log(t)).select("pos", "type", "prio", "place")
+
+
+_SYNC = "CASE type WHEN 'DropTable' THEN 0 WHEN 'AlterTable' THEN 2 WHEN 'CreateTable' THEN 3 WHEN 'Insert' THEN 8 ELSE 9 END"
+
+
+@query(f"WITH {_LOG} SELECT pos, type, {_SYNC} AS prio, row_number() OVER (ORDER BY {_SYNC}, pos) AS place FROM log")
+def q_sync_order(t):
+    return statements.ranked(_log(t), statements.SYNC_PRIORITY, statements.SYNC_OTHER).select("pos", "type", "prio", "place")
 
 
 @query(f"WITH {_LOG} SELECT type, table_name, row_number() OVER (PARTITION BY table_name ORDER BY {_PRIO}, pos) AS place, pos FROM log")
@@ -803,10 +879,11 @@ def q_meta_defaults(t):
     return d.select("table_name", "column_name", F.row_number().over(Window.partitionBy("table_name").orderBy("column_name")).cast("bigint").alias("ordinal"), fn.title(F.concat("column_name", F.lit("_OF_"), "table_name")).alias("title"), F.when(c("nullable"), "N").otherwise("Y").alias("required"))
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS n_rows, max(n) <= 100 AS small FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey)")
+@query("SELECT '(' || c_custkey || ', ''' || c_name || ''', ' || c_nationkey || ', ''' || c_mktsegment || ''')' AS line, 'INSERT INTO customer (c_custkey, c_name, c_nationkey, c_mktsegment) VALUES' AS head, true AS small FROM customer")
 def q_insert_batches(t):
-    b = sinks.insert_batches(t.customer, "customer", ["c_custkey"], 100)
-    return b.agg(F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 100).alias("small"))
+    b = sinks.insert_batches(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "customer", ["c_custkey"], 100)
+    rows = F.split(F.regexp_extract("statement", r"(?s)^[^\n]*\n(.*);$", 1), ",\n")
+    return b.select(F.explode(rows).alias("line"), F.regexp_extract("statement", r"^([^\n]*)\n", 1).alias("head"), ((F.col("n_rows") <= 100) & (F.size(rows) == F.col("n_rows"))).alias("small"))
 
 
 @query("SELECT 'INSERT INTO supplier (s_suppkey, s_name, s_nationkey, s_acctbal) VALUES' || chr(10) || '(' || s_suppkey || ', ''' || s_name || ''', ' || s_nationkey || ', NULL);' AS statement FROM supplier")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +29,12 @@ def literal(column: Column, kind: T.DataType, dialect: str = "ansi") -> Column:
     return F.coalesce(text, F.lit("NULL"))
 
 
-def insert_batches(df: DataFrame, name: str, order: Sequence[str], size: int = 1000, dialect: str = "ansi", spread: int = 256) -> DataFrame:
+def insert_batches(df: DataFrame, name: str, order: Sequence[str], size: int = 1000, dialect: str = "ansi", part_rows: int = 100_000) -> DataFrame:
     """(part, batch, n_rows, statement): INSERT statements of at most `size` rows.
 
-    Rows are dealt to `spread` parts by a hash of the order columns and numbered within a part, so that no task numbers the whole table.
+    Rows are counted and dealt to parts of about `part_rows` by a hash of the order columns, and numbered within a part, so that what a task sorts doesn't grow with the table.
     """
+    spread = -(-df.count() // part_rows) or 1
     columns = [c for c in df.columns]
     row = F.concat(F.lit("("), F.concat_ws(", ", *(literal(F.col(f.name), f.dataType, dialect) for f in df.schema.fields)), F.lit(")"))
     d = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int")).withColumn("_row", row)
@@ -47,6 +49,12 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def json_dump(df: DataFrame, schema: str, name: str) -> DataFrame:
+    """A table as JSON texts, line by line: first the header (schema, table, columns), then its rows."""
+    head = json.dumps({"schema": schema, "table": name, "columns": df.columns})
+    return df.sparkSession.range(1).select(F.lit(head).alias("json")).union(json_rows(df))
+
+
 def write_by_key(df: DataFrame, path: str, key: str, form: str = "json") -> None:
     """Fan-out: a folder for each value of the key."""
     df.write.partitionBy(key).format(form).save(path)
@@ -65,21 +73,3 @@ def change_statements(changes: DataFrame, name: str, key: Sequence[str], dialect
     text = F.when(F.col("op") == "INSERT", put).when(F.col("op") == "DELETE", F.concat(F.lit(f"DELETE FROM {name}"), where)).otherwise(F.concat(F.lit(f"UPDATE {name} SET "), sets, where))
     return changes.select("op", *key, F.concat(text, F.lit(";")).alias("statement"))
 
-
-def write_version(df: DataFrame, path: str) -> int:
-    """Writes the table's next version beside the others; readers see it once it is whole. What reads an older version may go on."""
-    number = latest_version(df.sparkSession, path) + 1
-    df.write.parquet(f"{path}/version={number}")
-    return number
-
-
-def latest_version(spark: SparkSession, path: str) -> int:
-    """The number of the last whole version, 0 without one."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
-    return max((int(s.getPath().getParent().getName().partition("=")[2]) for s in done), default=0)
-
-
-def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={number or latest_version(spark, path)}")

@@ -31,6 +31,15 @@ def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bo
     return reader.load()
 
 
+# What URLs of databases begin with.
+DIALECTS = {"jdbc:oracle:": "oracle", "jdbc:postgresql:": "postgres"}
+
+
+def dialect_of(url: str) -> str:
+    """The dialect that a JDBC URL tells; ansi for others."""
+    return next((d for start, d in DIALECTS.items() if url.lower().startswith(start)), "ansi")
+
+
 def glob_to_regex(glob: str) -> str:
     """** is any path, * any name, ? any character but a slash; the rest is plain."""
     parts = {"**": "(.+)", "*": "([^/]+)", "?": "[^/]"}
@@ -43,8 +52,8 @@ def like_to_regex(pattern: str) -> str:
 
 
 def statement_files(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame:
-    """(file, pos, text) of the statements in files: what stands between semicolons that are in no quotes and no line comment. Files are read in parallel, each whole."""
+    """(file, pos, text) of the statements in files: what stands between semicolons that are in no quotes and no comment. Files are read in parallel, each whole."""
     whole = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    bare = F.regexp_replace("value", r"('(?:[^']|'')*+'|\"[^\"]*+\")|--[^\n]*+", "$1")
+    bare = F.regexp_replace("value", r"('(?:[^']|'')*+'|\"[^\"]*+\")|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/", "$1")
     parts = F.regexp_extract_all(bare, F.lit(r"(?:'(?:[^']|'')*+'|\"[^\"]*+\"|[^;'\"])++"), F.lit(0))
     return whole.select("file", F.posexplode(F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")).alias("pos", "text"))
