@@ -20,14 +20,14 @@ BITS, MOST_BITS = 1 << 10, 1 << 20
 FAN = 8
 #: Pairs of nodes that a traversal looks at in one go.
 PIECE = 4000
-#: Rows and bytes of bitmaps of a block that one task compares; larger blocks are dealt in tiles of this size.
-TILE, TILE_BYTES = 512, 16_000_000
+#: Rows of a block that one task compares; larger blocks are dealt in tiles of this size. Bytes of bitmaps that a task gathers before it compares what is complete.
+TILE, HELD_BYTES = 256, 16_000_000
 #: Ids in this number are broadcast to find their texts; more of them are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: Counters of the sketch that says how often all documents have a shingle, and the parts that it is summed in.
-COUNTERS, PARTS = 1 << 20, 64
-#: A shingle that at least 1/SHARE of all documents (and this many) may have is grouped with partial sums first.
-SHARE, LEAST_HOT = 1000, 10_000
+COUNTERS, PARTS = 1 << 21, 64
+#: A shingle that at least 1/SHARE of all documents (and this many) may have is dealt to SALTS tasks first.
+SHARE, LEAST_HOT, SALTS = 1000, 10_000, 1024
 #: Estimated similarity from which on a pair is taken as linked until it is verified.
 SURE = 0.8
 _LOW, _HIGH = np.array([(i, j) for j in range(FAN) for i in range(j)]).T
@@ -245,7 +245,7 @@ def _blocks(members: DataFrame, hopeful: bool) -> DataFrame:
             held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
             count += b.num_rows
             size += b.nbytes
-            if count > 4 * TILE or size > TILE_BYTES:
+            if count > 4 * TILE or size > HELD_BYTES:
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 starts = _starts(cols)
                 last = int(starts[-1])  # the last group may go on
@@ -334,15 +334,17 @@ def _prefixes(rows: DataFrame, k: int, spark: SparkSession, sketch: np.ndarray,
 def _members(prefixes: DataFrame) -> DataFrame:
     """(block, h): a document and the block that it belongs to, which the least hash among those with a prefix shingle names.
 
-    Shingles that the sketch shows to be of few documents are grouped where they are shuffled to; those that may be of very many get partial
-    minima first and then meet their documents by a join that deals hot ones.
+    The rows are shuffled once. Shingles that the sketch shows to be of few documents are small groups; those that may be of very many are
+    dealt to SALTS groups, whose least hashes, a few rows, then give that of the shingle by a join that deals hot ones.
     """
-    by_shingle = Window.partitionBy("s")
-    rare = prefixes.filter("not hot").withColumn("block", F.min("h").over(by_shingle)).withColumn("last", F.max("h").over(by_shingle)).filter("block <> last").select("block", "h").distinct()
-    hot = prefixes.filter("hot").select("s", "h").distinct()
-    least = stored(hot.groupBy("s").agg(F.min("h").alias("block"), F.count("*").alias("w")).filter("w > 1"), "hot-blocks")
-    often = lookup(hot, least, "s", "w", F.xxhash64("h", F.lit("spread"))).filter("block is not null").select("block", "h")
-    return rare.union(often).distinct()
+    by = Window.partitionBy("s", "salt")
+    d = prefixes.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h"), F.lit(SALTS))).otherwise(F.lit(-1)))
+    d = d.withColumns({"block": F.min("h").over(by), "last": F.max("h").over(by)}).filter("hot or block <> last")
+    d = stored(d.select(F.when(F.col("hot"), F.col("s")).alias("s"), "block", "h").distinct(), "prefix-blocks")
+    hot = d.filter("s is not null").select("s", "h", F.col("block").alias("part"))
+    least = stored(hot.groupBy("s").agg(F.min("part").alias("block"), F.count("*").alias("w")).filter("w > 1"), "hot-blocks")
+    often = lookup(hot.drop("part"), least, "s", "w", F.xxhash64("h", F.lit("spread"))).filter("block is not null").select("block", "h")
+    return d.filter("s is null").select("block", "h").union(often).distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -394,15 +396,14 @@ def ngram_components(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_c
     sketch = _summed(made.filter("part is not null").select("part", "map"))
     classes = light.filter("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.min("rid").alias("rid"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n", "h", "map")))
     classes = stored(classes, "shingle-classes")
-    prefixes = stored(_prefixes(rows, k, spark, sketch, max(light.count() // SHARE, LEAST_HOT)), "prefixes")
-    members = stored(_members(prefixes).join(classes.select("h", "n", "map"), "h"), "block-members")
-    sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("map")) / TILE_BYTES)).cast("int").alias("tiles"), F.count("*").alias("w")).filter("w > 1")
+    members = stored(_members(_prefixes(rows, k, spark, sketch, max(light.count() // SHARE, LEAST_HOT))), "block-members")
+    sizes = members.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("w")).filter("w > 1")
     sizes = stored(sizes, "block-sizes")
     tiled = lookup(members, sizes, "block", "w", F.xxhash64("h", F.lit("spread"))).filter("tiles is not null")
     dealt = lambda seed: F.pmod(F.xxhash64("h", F.lit(seed)), F.col("tiles")).cast("long")
     seeds = F.when(F.col("tiles") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     first = tiled.withColumn("seed", F.explode(seeds)).withColumn("tile", F.when(F.col("seed") == 0, dealt(0)).otherwise(dealt(1)) * 2 + F.col("seed"))
-    first = first.select("block", F.col("tile").alias("left"), F.col("tile").alias("right"), "tile", "h", "n", "map", F.col("h").alias("comp"))
+    first = first.select("block", F.col("tile").alias("left"), F.col("tile").alias("right"), "tile", "h", F.col("h").alias("comp")).join(classes.select("h", "n", "map"), "h")
     near = stored(_blocks(first, True), "near-in-trees")
     links = stored(_verified(near, rows, classes, k), "links-in-trees")
     comps = stored(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components-in-trees")
