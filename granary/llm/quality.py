@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,37 +138,45 @@ class Fertility:
         self.bpe = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=table, special_tokens={})
         self.size = self.sp.get_piece_size()
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.size)])
+        self.width = np.zeros(max(table.values()) + 1, np.int64)  # bytes of each rank token
+        for token, rank in table.items():
+            self.width[rank] = len(token)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.held, self.begin = [np.zeros(0, np.int64)], [0]
-        self.facts: list[tuple[int, ...]] = []  # byte tokens, rank tokens, letters of each script
+        self.tokens = [np.zeros(0, np.int64)]
+        self.facts = [np.zeros((0, 3 + len(SCRIPTS)), np.int64)]  # of each word: piece tokens, byte tokens among them, rank tokens, letters of each script
 
     def learn(self, words: Sequence[str]) -> None:
         new = [w for w in words if w not in self.known]
         if not new:
             return
         pieces = self.sp.encode(new, num_threads=1)
-        counted = script_letters(new)
-        for w, p, letters in zip(new, pieces, counted.tolist(), strict=True):
-            self.known[w] = len(self.facts)
-            self.begin.append(self.begin[-1] + len(p))
-            self.facts.append((int(self.is_byte[p].sum()), len(self.bpe.encode_ordinary(" " + w)), *letters))
-        self.held.append(np.array([i for p in pieces for i in p], np.int64))
+        n = np.fromiter(map(len, pieces), np.int64, len(new))
+        tokens = np.fromiter(chain.from_iterable(pieces), np.int64, int(n.sum()))
+        of = np.repeat(np.arange(len(new)), n)
+        # All words with a space before each are one text: a token belongs to the word that its first byte stands in.
+        begin = np.cumsum([0, *(len(w.encode()) + 1 for w in new)])
+        ranks = np.array(self.bpe.encode_ordinary(" " + " ".join(new)), np.int64)
+        at = np.cumsum(self.width[ranks]) - self.width[ranks]
+        ranks_of = np.bincount(np.searchsorted(begin, at, "right") - 1, minlength=len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.tokens.append(tokens)
+        self.facts.append(np.column_stack((n, np.bincount(of[self.is_byte[tokens]], minlength=len(new)), ranks_of, script_letters(new))))
 
     def measure(self, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: piece tokens, byte tokens among them, rank tokens, the entropy of the piece tokens in bits, and letters by script."""
         if len(self.known) > REMEMBER:
             self.forget()
         self.learn(b.distinct)
-        self.held = [np.concatenate(self.held)]
+        self.tokens, self.facts = [np.concatenate(self.tokens)], [np.concatenate(self.facts)]
         at = np.fromiter(map(self.known.__getitem__, b.distinct), np.int64, len(b.distinct))
-        begin, facts = np.array(self.begin), np.array([self.facts[i] for i in at.tolist()], np.int64).reshape(-1, 2 + len(SCRIPTS))
+        begin, facts = np.concatenate(([0], np.cumsum(self.facts[0][:, 0]))), self.facts[0][at, 1:]
         first, length = begin[at][b.words], np.diff(begin)[at][b.words]
         pieces = b.by_text(length)
         end = np.cumsum(length)
-        token = self.held[0][np.repeat(first - end + length, length) + np.arange(end[-1] if len(end) else 0)]
+        token = self.tokens[0][np.repeat(first - end + length, length) + np.arange(end[-1] if len(end) else 0)]
         key = np.sort(np.repeat(b.of, length) * self.size + token)
         run = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
         n = np.diff(np.append(run, len(key)))
