@@ -17,6 +17,8 @@ from granary.llm.common import fresh, others, small_batches, stored
 DIM = 1 << 13
 #: Languages that can be learnt.
 MOST_LANGUAGES = 1000
+#: Where a floor lies between other languages (0) and the own (1).
+NEAR = 0.2
 _FOLD: list[np.ndarray] = []
 
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 800, error: float = 0.
 
     A fourth of the sample sets the floors and has no part in the centroids. For texts of a length (log2 of the number of n-grams) the floor
     lies below all but `error` of the cosines that these texts have to their own language, and above as many of those that they have to
-    the other languages, which stand for languages not learnt: halfway between, where that is possible, and else at the lower end, so that
+    the other languages, which stand for languages not learnt: where that is possible, NEAR of the way up from these, and else at the lower end, so that
     known languages are kept. Lengths with few texts take it from the next, less by the root of two for each halving.
     Without a row to learn from, everything is `und` and rejected. Repeated rows count once in the sample; over MOST_LANGUAGES languages are an error.
     """
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 800, error: float = 0.
         for b in set(at.tolist()):
             if (at == b).sum() >= 10:
                 low, high = np.quantile(own[at == b], error), max(0.0, np.quantile(other[at == b], 1 - error))
-                floors[b] = (low + high) / 2 if high < low else low
+                floors[b] = high + NEAR * (low - high) if high < low else low
     known = [b for b in range(64) if not np.isnan(floors[b])]
     for b in range(64):
         if np.isnan(floors[b]):
