@@ -315,3 +315,14 @@ def test_quality_bands_reject_what_base_rules_keep(spark):
     out = {x.doc_id: x for x in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(out) == len(rows) and all(out[1000 + i].base_failed is False and not out[1000 + i].kept for i in range(20))
     assert sum(out[i].kept for i in range(400)) >= 396
+
+
+def test_shared_folder_must_be_named_off_local_mode():
+    from types import SimpleNamespace
+
+    from granary.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: "hdfs:///x"))) == "hdfs:///x"
