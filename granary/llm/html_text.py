@@ -27,6 +27,8 @@ ASIDE = frozenset("nav footer aside menu dialog".split())
 CHROME = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu topbar breadcrumb breadcrumbs sidebar widget widgets footer masthead comment comments reply replies respond disqus discussion share sharing social related recommended recommendations popup modal overlay newsletter subscribe subscription signup login copyright legal pagination pager skip search toolbar complementary contentinfo".split()
 )
+#: Words with which a header is one of the article.
+ARTICLE = frozenset("article entry post story content section".split())
 #: How much text counts in parts that are likely no article, and in forms.
 UNLIKELY, IN_FORM = 0.001, 0.01
 #: Least score of content, whatever the other paths have: about a word.
@@ -41,7 +43,7 @@ PUNCTUATION = re.compile(r"[,.;:!?、。，！？¿¡…]")
 
 def _likely(name: str, hints: list[list[str]], inside: bool) -> float:
     """The weight of text in an element, by its name and what its class, id and role begin or end with."""
-    header = name == "header" or any("header" in (h[0], h[-1]) for h in hints)
+    header = name == "header" or any("header" in (h[0], h[-1]) and not ARTICLE & set(h) for h in hints)
     if name in ASIDE or header and not inside or any(h[0] in CHROME or h[-1] in CHROME for h in hints):
         return UNLIKELY
     return IN_FORM if name == "form" else 1.0

@@ -237,6 +237,11 @@ def test_main_text_of_quoted_signs_and_tables():
     assert html_text.main_text(page).split("\n")[0] == "Head" and html_text.main_text(page).split("\n")[2:4] == ["1", "2"]
 
 
+def test_main_text_keeps_the_head_of_an_article():
+    page = '<body><div class="{}"><h1>Head of it</h1></div><div><p>' + "A paragraph, of some length. " * 9 + "</p></div></body>"
+    assert html_text.main_text(page.format("post-header")).startswith("Head of it\n") and not html_text.main_text(page.format("site-header")).startswith("Head")
+
+
 def test_html_awkward(spark):
     pages = cases.pages(spark)
     out = html_text.extract(pages)
