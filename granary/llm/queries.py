@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, html_text, language_id, pii, quality, toxicity, warc
+from granary.llm import decontamination, fill_in_middle, html_text, language_id, multiset_hash, periodic_runs, pii, quality, toxicity, warc
 from granary.llm.common import id_crc, scratch, table
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.mixing import mix
@@ -65,7 +65,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_index, op3_decontamination, op4_line_dedup, op5_quality_fertility, op6_pii, op7_html_main_text, op8_language_id, op9_mixing, op10_ngram_join)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = periodic_runs.find_runs(periodic_runs.planted(docs)).withColumn("best", periodic_runs.best_run(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    ratio = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", ratio, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op12_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = multiset_hash.against_next(table(spark, sf_dir, "documents"))
+    prints = [F.base64(c).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return d.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c, name: F.sha2(c, 256).alias(name)
+    return d.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), digest("fim_text", "output_sha256"), digest("restored_text", "restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc_index, op3_decontamination, op4_line_dedup, op5_quality_fertility, op6_pii, op7_html_main_text, op8_language_id, op9_mixing, op10_ngram_join, op11_periodic_runs, op12_multiset_fingerprints, op13_fill_in_middle)}
 
 WHITE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -121,4 +141,43 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
 SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id""",
+    "op11_periodic_runs": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes FROM documents),
+h AS (SELECT doc_id, ws, len(ws) AS n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h FROM d),
+g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (
+  SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[1 + a + (i - a) % p] ELSE ws[1 + i] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+x AS (SELECT doc_id, n, i, lag(word) OVER o AS prev, md5(string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)) AS gram, lead(word, 16) OVER o AS next FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+y AS (SELECT * FROM x WHERE i + 16 <= n QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+pairs AS (
+  SELECT l.doc_id, l.i, r.i - l.i AS q, l.prev IS NULL OR l.prev <> r.prev AS first, r.next IS NULL OR l.next <> r.next AS last
+  FROM y l JOIN y r ON l.doc_id = r.doc_id AND l.gram = r.gram AND l.i < r.i AND 3 * (r.i - l.i) <= l.n AND (l.prev IS NULL OR l.prev <> r.prev OR r.next IS NULL OR l.next <> r.next)),
+lefts AS (SELECT doc_id, q, i, row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs WHERE first),
+rights AS (SELECT doc_id, q, i, row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs WHERE last),
+long AS (SELECT l.doc_id, l.i AS start, r.i - l.i + 16 + l.q AS length, l.q AS period FROM lefts l JOIN rights r USING (doc_id, q, k) WHERE r.i - l.i + 16 + l.q >= greatest(24, 3 * l.q)),
+runs AS (SELECT * FROM long a WHERE NOT EXISTS (FROM long b WHERE a.doc_id = b.doc_id AND b.period < a.period AND b.start <= a.start AND b.start + b.length >= a.start + a.length)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM w WHERE NOT EXISTS (FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ts, sha256('1:' || doc_id) AS h FROM documents),
+c AS (
+  SELECT doc_id, text, ts, CAST(len(ts) AS BIGINT) AS n, least(CAST('0x' || h[1:8] AS BIGINT) % (len(ts) + 1), CAST('0x' || h[9:16] AS BIGINT) % (len(ts) + 1)) AS a,
+    greatest(CAST('0x' || h[1:8] AS BIGINT) % (len(ts) + 1), CAST('0x' || h[9:16] AS BIGINT) % (len(ts) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (SELECT *, array_to_string(ts[1:a], '') AS pre, array_to_string(ts[a + 1:b], '') AS mid, array_to_string(ts[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
 }
