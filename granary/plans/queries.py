@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import sql as fn
 from granary.operators import dml, joins, paging, rowdiff, schemadiff, statements
+from granary.plans.registry import ORACLES, QUERIES, c, money, query
 from granary.sources import sinks
-from granary.sources.tables import one_row, table, values
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-c = F.col
-
-
-class Tables:
-    """The tables of a folder, by attribute."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
-
-
-def query(sql: str) -> Callable:
-    def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def money(x: Column) -> Column:
-    """Sums of doubles depend on their order; rounded, they don't."""
-    return F.round(x, 2)
-
+from granary.sources.tables import one_row, values
 
 # Scans, projection
 
@@ -913,3 +883,6 @@ def q_shipping_priority(t):
     j = t.customer.filter("c_mktsegment = 'BUILDING'").join(t.orders.filter("o_orderdate < DATE '1998-03-15'"), c("c_custkey") == c("o_custkey")).join(t.lineitem, c("l_orderkey") == c("o_orderkey"))
     g = j.groupBy("o_orderkey", "o_orderdate").agg(money(F.sum(c("l_extendedprice") * (1 - c("l_discount")))).alias("revenue"))
     return g.orderBy(F.desc("revenue"), "o_orderkey").limit(10).select("o_orderkey", "revenue", "o_orderdate")
+
+
+from granary.plans import large  # noqa: E402, F401  registers its queries

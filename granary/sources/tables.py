@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.dumps import numbered, split_statements
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,8 +54,5 @@ def like_to_regex(pattern: str) -> str:
 
 
 def statement_files(spark: SparkSession, path: str, glob: str = "*.sql") -> DataFrame:
-    """(file, pos, text) of the statements in files: what stands between semicolons that are in no quotes and no comment. Files are read in parallel, each whole."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    bare = F.regexp_replace("value", r"('(?:[^']|'')*+'|\"[^\"]*+\")|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/", "$1")
-    parts = F.regexp_extract_all(bare, F.lit(r"(?:'(?:[^']|'')*+'|\"[^\"]*+\"|[^;'\"])++"), F.lit(0))
-    return whole.select("file", F.posexplode(F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")).alias("pos", "text"))
+    """(file, pos, text) of the statements in files: what stands between semicolons that are in no quotes and no comment, without its comments. See dumps.split_statements, which reads large files in ranges."""
+    return numbered(split_statements(spark, path, glob, comments=False)).select("file", "pos", "text")
