@@ -19,8 +19,8 @@ WIDE, LANES = 8, 256
 SIZE = 8 * WIDE + 4 * LANES
 #: Words of a shingle.
 SHINGLE = 3
-#: Bytes of texts that are summed together, and bytes of texts in a range of the sorted table.
-BATCH, RANGE_BYTES = 1 << 23, 1 << 26
+#: Bytes of texts that are summed together, bytes of texts in a range of the sorted table, and ranges at most (their bounds pass the driver; beyond, ranges are larger).
+BATCH, RANGE_BYTES, MOST_RANGES = 1 << 23, 1 << 24, 500_000
 _BYTES = bytes(range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROW = "doc_id long, n_chars long, edited_text string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
@@ -177,7 +177,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n, size = keys.agg(F.count("*"), F.sum("size")).first()
     if not n:
         return spark.createDataFrame([], _ROW)
-    ranges = min(n, max(-(-size // RANGE_BYTES), 2 * spark.sparkContext.defaultParallelism))
+    ranges = min(n, MOST_RANGES, max(-(-size // RANGE_BYTES), 2 * spark.sparkContext.defaultParallelism))
     least = keys.repartitionByRange(ranges, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("low"))
     bounds = sorted(tuple(r.low) for r in least.collect())  # one a range
     shared = spark.sparkContext.broadcast(bounds)
