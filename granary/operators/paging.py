@@ -1,4 +1,4 @@
-"""OFFSET over sorted tables without sorting them in one task."""
+"""OFFSET and LIMIT over sorted tables without sorting them in one task."""
 
 from __future__ import annotations
 
@@ -7,23 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.ranges import Order, bounds_of, order_key
+from granary.scratch import stored
 
-def offset_rows(df: DataFrame, order: Sequence[str], n: int, ranges: int = 200) -> DataFrame:
-    """df in the given order without its first n rows; the first column to order by is a number.
 
-    The rows are counted by ranges of that column, whose ends are approximate quantiles. Ranges before the cut go, those after it stay, and only
-    the range of the cut is sorted by itself to find the place. Nulls come first.
+def offset_rows(df: DataFrame, order: Sequence[str | Order], n: int, ranges: int = 200, limit: int | None = None) -> DataFrame:
+    """df in the given order without its first n rows, and of the rest the first `limit` if that is given.
+
+    `order` names columns of any types that sort, each with its direction and the place of its nulls (`name DESC NULLS FIRST`, or Order). A row's
+    key is a text that sorts as these do, with a hash of the row at its end, so that ties are split as well; the rows are counted
+    by ranges of that key. Ranges before the cuts go, those between stay, and only in the range of a cut rows are numbered. Which of tied rows go is settled by
+    the hash; equal rows can't be told apart. An empty table gives an empty result.
     """
-    shares = [i / ranges for i in range(1, ranges)]
-    ends = sorted(set(df.agg(F.percentile_approx(order[0], shares, 10_000)).first()[0] or []))  # `ranges` numbers
-    at = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(order[0]))) if ends else F.lit(0)
-    d, before, cut = df.withColumn("_range", F.greatest(at, F.lit(0))), 0, None
-    for r in d.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
-        if before + r["count"] > n:
-            cut = r["_range"]
-            break
-        before += r["count"]
-    if cut is None:
-        return df.limit(0)
-    here = d.filter(F.col("_range") == cut).withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).filter(F.col("_place") > n - before)
-    return d.filter(F.col("_range") > cut).drop("_range").unionByName(here.drop("_range", "_place")).orderBy(*order)
+    by = [o if isinstance(o, Order) else Order.parse(o) for o in order]
+    keyed = df.withColumn("_key", F.concat(order_key(df, by), F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")))
+    at = bounds_of(keyed, "_key", ranges)
+    d = keyed.withColumn("_range", at.upto(F.col("_key")))
+    counts = stored(d.groupBy("_range").count(), "range-counts").orderBy("_range").collect()  # a row for each range
+    before, cuts, whole, stop = 0, [], [], n + limit if limit is not None else None
+    for r in counts:
+        first, before = before, before + r["count"]
+        if before <= n or stop is not None and first >= stop:
+            continue
+        if first >= n and (stop is None or before <= stop):
+            whole.append(r["_range"])
+        else:
+            cuts.append((r["_range"], first))
+    out = d.filter(F.col("_range").between(whole[0], whole[-1])) if whole else d.limit(0)
+    out = out.drop("_range", "_key")
+    for r, first in cuts:
+        here = d.filter(F.col("_range") == r).withColumn("_place", first + F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
+        here = here.filter((F.col("_place") > n) & (F.col("_place") <= stop if stop is not None else F.lit(True)))
+        out = out.unionByName(here.drop("_range", "_key", "_place"))
+    return out.orderBy(*(o.column() for o in by))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from granary.operators import digesttree, lists, paging, rangejoin
 from granary.plans.registry import c, query
 from granary.scratch import scratch
 from granary.sources import dumps
@@ -21,3 +22,89 @@ def q_dump_statements(t):
     d = dumps.numbered(dumps.split_statements(t.spark, folder, "part-*"))
     places = F.broadcast(d.agg(F.count_distinct("file", "pos").alias("n_places")))  # one row
     return d.join(places).select(c("text").alias("statement"), (c("end") - c("start")).alias("n_bytes"), "closed", "n_places")
+
+
+# Comparison by digest trees
+
+_SIDES = """, o AS (SELECT {k}, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL), n AS (SELECT {k}, count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL)
+SELECT {k}, CASE WHEN n.n IS NULL THEN 'old' WHEN o.n IS NULL THEN 'new' ELSE 'both' END AS side, CAST(coalesce(o.n, 0) AS BIGINT) AS n_old, CAST(coalesce(n.n, 0) AS BIGINT) AS n_new FROM o FULL JOIN n USING ({k})"""
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders), b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 211 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_orderdate FROM orders WHERE o_orderkey % 307 <> 0 UNION ALL SELECT o_orderkey + 10000000, o_custkey, NULL, o_orderdate FROM orders WHERE o_orderkey % 503 = 0)"
+    + _SIDES.format(k="o_orderkey")
+)
+def q_digest_compare(t):
+    old = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    new = old.filter("o_orderkey % 307 <> 0").withColumn("o_orderstatus", F.when(c("o_orderkey") % 211 == 0, "Z").otherwise(c("o_orderstatus")))
+    more = old.filter("o_orderkey % 503 = 0").withColumns({"o_orderkey": c("o_orderkey") + 10000000, "o_orderstatus": F.lit(None).cast("string")})
+    return digesttree.compare(old, new.unionByName(more), ["o_orderkey"])
+
+
+@query(
+    "WITH a AS (SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem), b AS (SELECT l_shipdate, l_orderkey, l_linenumber, CASE WHEN l_shipdate = (SELECT min(l_shipdate) FROM lineitem) THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem UNION ALL SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 997 = 0)"
+    + _SIDES.format(k="l_shipdate, l_orderkey, l_linenumber")
+)
+def q_digest_compare_repeats(t):
+    old = t.lineitem.select("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    first = F.broadcast(old.agg(F.min("l_shipdate").alias("first")))  # one row
+    new = old.join(first).withColumn("l_quantity", F.when(c("l_shipdate") == c("first"), c("l_quantity") + 1).otherwise(c("l_quantity"))).drop("first")
+    return digesttree.compare(old, new.unionByName(old.filter("l_orderkey % 997 = 0")), ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey % 7 = 0)
+SELECT 'customer' AS table_name, 'IDENTICAL' AS status, CAST(0 AS BIGINT) AS n_keys, CAST(NULL AS VARCHAR) AS message UNION ALL SELECT 'nation', 'FAILED', NULL, 'nation: no key given and no primary key known' UNION ALL SELECT 'supplier', 'DIFFERENT', n, NULL FROM n""")
+def q_digest_tables(t):
+    old = {"customer": t.customer, "nation": t.nation, "supplier": t.supplier}
+    return digesttree.compare_tables(old, old | {"supplier": t.supplier.withColumn("s_acctbal", F.when(c("s_suppkey") % 7 == 0, c("s_acctbal") + 1).otherwise(c("s_acctbal")))}, {"customer": ["c_custkey"], "supplier": ["s_suppkey"]})
+
+
+# Joins by inequality
+
+
+@query("SELECT o_orderpriority, l_linestatus, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem JOIN orders ON l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 1 DAY GROUP BY ALL")
+def q_band_join(t):
+    o = t.orders.select("o_orderpriority", "o_orderdate", (c("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("until"))
+    j = rangejoin.interval_join(t.lineitem.select("l_orderkey", "l_linestatus", "l_shipdate"), o, "l_shipdate", "o_orderdate", "until", (False, True))
+    return j.groupBy("o_orderpriority", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("SELECT s_suppkey, count(c_custkey) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM supplier LEFT JOIN customer ON s_acctbal < c_acctbal GROUP BY s_suppkey")
+def q_theta_join(t):
+    j = rangejoin.theta_join(t.supplier.select("s_suppkey", "s_acctbal"), t.customer.select("c_custkey", "c_acctbal"), "s_acctbal", "<", "c_acctbal", "left")
+    return j.groupBy("s_suppkey").agg(F.count("c_custkey").alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c_acctbal >= s_acctbal AND c_acctbal <= s_acctbal + 5)")
+def q_band_anti_join(t):
+    s = t.supplier.withColumn("until", c("s_acctbal") + 5)
+    met = rangejoin.interval_join(t.customer.select("c_acctbal"), s, "c_acctbal", "s_acctbal", "until").select("s_suppkey").distinct()
+    return s.join(met, "s_suppkey", "left_anti").select("s_suppkey", "s_nationkey")
+
+
+@query("""WITH a AS (SELECT l_suppkey % 10 AS s, min(l_shipdate) AS f, min(l_shipdate) + INTERVAL 20 DAY AS u, l_orderkey AS k FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY ALL), b AS (SELECT o_orderkey, o_orderdate AS g, o_orderdate + INTERVAL 3 DAY AS v FROM orders WHERE o_orderkey % 40 = 1)
+SELECT s, count(*) AS n, count(DISTINCT o_orderkey) AS n_orders FROM a JOIN b ON f <= v AND g <= u GROUP BY s""")
+def q_overlap_join(t):
+    a = t.lineitem.filter("l_orderkey % 40 = 0").groupBy((c("l_suppkey") % 10).alias("s"), c("l_orderkey").alias("k")).agg(F.min("l_shipdate").alias("f")).withColumn("u", c("f") + F.expr("INTERVAL 20 DAY"))
+    b = t.orders.filter("o_orderkey % 40 = 1").select("o_orderkey", c("o_orderdate").alias("g"), (c("o_orderdate") + F.expr("INTERVAL 3 DAY")).alias("v"))
+    return rangejoin.overlap_join(a, b, ("f", "u"), ("g", "v")).groupBy("s").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_orders"))
+
+
+# Order by columns of any type, and ordered lists
+
+
+@query("SELECT o_orderpriority, d, o_orderkey FROM (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders) ORDER BY o_orderpriority DESC, d NULLS LAST, o_orderkey OFFSET 3210")
+def q_offset_mixed_order(t):
+    d = t.orders.select("o_orderpriority", F.when(c("o_orderkey") % 5 != 0, c("o_orderdate").cast("date")).alias("d"), "o_orderkey")
+    return paging.offset_rows(d, ["o_orderpriority DESC", "d NULLS LAST", "o_orderkey"], 3210)
+
+
+@query("SELECT * FROM (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS bal, c_mktsegment, c_custkey FROM customer) ORDER BY bal DESC NULLS FIRST, c_mktsegment, c_custkey DESC LIMIT 700 OFFSET 333")
+def q_offset_limit_mixed_order(t):
+    d = t.customer.select(F.when(c("c_custkey") % 3 != 0, c("c_acctbal")).alias("bal"), "c_mktsegment", "c_custkey")
+    return paging.offset_rows(d, ["bal DESC NULLS FIRST", "c_mktsegment", "c_custkey DESC"], 333, limit=700)
+
+
+@query("SELECT c_mktsegment, CAST(0 AS BIGINT) AS chunk, count(*) AS n_values, string_agg(c_name, ';' ORDER BY c_acctbal DESC, c_name) AS text FROM customer GROUP BY c_mktsegment")
+def q_listagg_ranges(t):
+    return lists.ordered_lists(t.customer, ["c_mktsegment"], ["c_acctbal DESC"], "c_name", ";", ranges=50)
