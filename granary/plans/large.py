@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators import digesttree, lists, paging, rangejoin
+from granary.operators import digesttree, lists, paging, rangejoin, replay, rowdiff, views
 from granary.plans.registry import c, query
-from granary.scratch import scratch
+from granary.scratch import scratch, stored
 from granary.sources import dumps
 
 # Dumps
@@ -108,3 +111,65 @@ def q_offset_limit_mixed_order(t):
 @query("SELECT c_mktsegment, CAST(0 AS BIGINT) AS chunk, count(*) AS n_values, string_agg(c_name, ';' ORDER BY c_acctbal DESC, c_name) AS text FROM customer GROUP BY c_mktsegment")
 def q_listagg_ranges(t):
     return lists.ordered_lists(t.customer, ["c_mktsegment"], ["c_acctbal DESC"], "c_name", ";", ranges=50)
+
+
+# Views that are kept by changes
+
+_VIEW_NEW = """new AS (SELECT o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN o_totalprice + 1000 ELSE o_totalprice END AS o_totalprice FROM orders
+WHERE o_orderkey % 43 <> 0 AND o_totalprice > (SELECT min(o_totalprice) FROM orders) UNION ALL SELECT o_orderkey + 10000000, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'NONE' END, o_totalprice FROM orders WHERE o_orderkey % 61 = 0)"""
+
+
+def _view_states(t):
+    old = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    least = F.broadcast(old.agg(F.min("o_totalprice").alias("least")))  # one row
+    price = F.when(c("o_orderkey") % 37 == 0, None).when(c("o_orderkey") % 41 == 0, c("o_totalprice") + 1000).otherwise(c("o_totalprice"))
+    new = old.join(least).filter("o_orderkey % 43 <> 0 and o_totalprice > least").drop("least").withColumn("o_totalprice", price)
+    more = old.filter("o_orderkey % 61 = 0").withColumns({"o_orderkey": c("o_orderkey") + 10000000, "o_orderpriority": F.when(c("o_orderkey") % 2 == 0, "NONE")})
+    return old, new.unionByName(more)
+
+
+@query(f"WITH {_VIEW_NEW} SELECT o_orderpriority, count(*) AS n, count(o_totalprice) AS priced, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most FROM new GROUP BY o_orderpriority")
+def q_view_groups(t):
+    price = "o_totalprice"
+    view = views.View(("o_orderpriority",), {"priced": ("count", price), "total": ("sum", price), "mean": ("avg", price), "least": ("min", price), "most": ("max", price)})
+    old, new = _view_states(t)
+    state = views.apply(views.build(old, view), views.signed(rowdiff.diff(old, new, ["o_orderkey"]), ["o_orderkey"]), new, view)
+    return views.show(state, view).withColumns({"total": F.round(c("total").cast("double"), 2), "mean": F.round("mean", 4)})
+
+
+@query(f"""WITH {_VIEW_NEW}, cust AS (SELECT c_custkey, CASE WHEN c_custkey % 23 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 29 <> 0)
+SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(c_acctbal) AS least, max(o_totalprice) AS most FROM new JOIN cust ON o_custkey = c_custkey GROUP BY c_mktsegment""")
+def q_view_join(t):
+    view = views.View(("c_mktsegment",), {"total": ("sum", "o_totalprice"), "least": ("min", "c_acctbal"), "most": ("max", "o_totalprice")})
+    (old, new), cust = (d.withColumnRenamed("o_custkey", "c_custkey") for d in _view_states(t)), t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
+    now = cust.filter("c_custkey % 29 <> 0").withColumn("c_mktsegment", F.when(c("c_custkey") % 23 == 0, "MOVED").otherwise(c("c_mktsegment")))
+    d, e = views.signed(rowdiff.diff(old, new, ["o_orderkey"]), ["o_orderkey"]), views.signed(rowdiff.diff(cust, now, ["c_custkey"]), ["c_custkey"])
+    state = views.apply(views.build(old.join(cust, "c_custkey"), view), views.joined(old, d, now, e, ["c_custkey"]), new.join(now, "c_custkey"), view)
+    return views.show(state, view).withColumn("total", F.round(c("total").cast("double"), 2))
+
+
+# Replay of a log: events create, rename, drop and change forty names
+
+
+@query("""WITH RECURSIVE log AS (
+  SELECT event_id AS pos, CASE event_type WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'DROP' WHEN 'view' THEN 'RENAME' ELSE 'ALTER' END AS type, 'u' || (user_id % 40) AS name,
+    'u' || ((user_id * 7 + event_id) % 40) AS new_name, event_type AS attribute, CAST(event_id AS VARCHAR) AS value FROM events),
+ev AS (SELECT pos, CASE type WHEN 'CREATE' THEN name ELSE new_name END AS name, true AS bound, type, name AS source FROM log WHERE type IN ('CREATE', 'RENAME')
+  UNION ALL SELECT pos, name, false, type, NULL FROM log WHERE type = 'DROP' OR type = 'RENAME' AND name <> new_name),
+nodes AS (SELECT pos, type, source FROM ev WHERE bound),
+up AS (SELECT pos, CASE WHEN e.bound THEN e.pos END AS up FROM (SELECT n.pos, (SELECT max({'pos': e.pos, 'bound': e.bound}) FROM ev e WHERE n.source = e.name AND n.pos > e.pos) AS e FROM nodes n WHERE n.type = 'RENAME')),
+root(pos, object) AS (SELECT pos, pos FROM nodes WHERE type = 'CREATE' UNION ALL SELECT up.pos, root.object FROM up JOIN root ON up.up = root.pos),
+nexts AS (SELECT pos, name, bound, lead(pos) OVER (PARTITION BY name ORDER BY pos) AS until FROM ev),
+b AS (SELECT nexts.pos, name, until, object FROM nexts JOIN root USING (pos) WHERE bound),
+ch AS (SELECT l.pos, object, attribute, value FROM (SELECT l.*, (SELECT max({'pos': e.pos, 'bound': e.bound}) FROM ev e WHERE l.name = e.name AND l.pos > e.pos) AS e FROM log l WHERE l.type = 'ALTER') l JOIN root ON l.e.pos = root.pos WHERE l.e.bound),
+p AS (SELECT max(event_id) // d AS position FROM events, (VALUES (4), (2), (1)) v(d) GROUP BY d),
+alive AS (SELECT position, object, name FROM b, p WHERE b.pos <= position AND (until IS NULL OR until > position)),
+vals AS (SELECT position, object, attribute, arg_max(value, ch.pos) AS value FROM ch, p WHERE ch.pos <= position GROUP BY ALL)
+SELECT position, object, name, attribute, value FROM alive LEFT JOIN vals USING (position, object)""")
+def q_replay_as_of(t):
+    kind = F.when(c("event_type") == "signup", "CREATE").when(c("event_type") == "error", "DROP").when(c("event_type") == "view", "RENAME").otherwise("ALTER")
+    name = lambda n: F.concat(F.lit("u"), (n % 40).cast("string"))
+    log = t.events.select(c("event_id").alias("pos"), kind.alias("type"), name(c("user_id")).alias("name"), name(c("user_id") * 7 + c("event_id")).alias("new_name"), c("event_type").alias("attribute"), c("event_id").cast("string").alias("value"))
+    bindings, changes = (stored(d, "replay") for d in replay.resolve(log))
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    return reduce(DataFrame.unionByName, (replay.as_of(bindings, changes, last // d).select(F.lit(last // d).cast("long").alias("position"), "*") for d in (4, 2, 1)))
