@@ -157,3 +157,20 @@ def read_as(df: DataFrame, catalog: Sequence[tuple[str, str]]) -> DataFrame:
     """df's columns cast to the types that a catalog (column, SQL type) gives them."""
     return df.select(*(F.col(c).cast(spark_type(t)).alias(c) for c, t in catalog))
 
+
+def splice_columns(columns: DataFrame, inserted: Sequence[tuple[str, str]], before: str, suffix: str = "_AT") -> DataFrame:
+    """(table_name, position, column_name, sql_type) of a derived table for each table of columns (table_name, position, column_name, sql_type): the inserted columns
+    (name, type) stand, in their order, right before the column named `before`, or at the end where there is none; columns that are called like an inserted one go from
+    their old places; positions are numbered anew from 1. Names are compared without regard to case.
+
+    Places are numbers to sort by: a base column has its position, inserted ones half a step before. One window over a table's columns numbers them.
+    """
+    names = [n.upper() for n, _ in inserted]
+    base = columns.filter(~F.upper("column_name").isin(names)).select("table_name", F.col("position").cast("double").alias("_at"), F.lit(0).alias("_nth"), "column_name", "sql_type")
+    place = F.coalesce(F.min(F.when(F.upper("column_name") == before.upper(), F.col("position"))) - 0.5, F.max("position") + 0.5)
+    tables = columns.groupBy("table_name").agg(place.alias("_at"))
+    rows = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("_nth"), F.lit(n).alias("column_name"), F.lit(t).alias("sql_type")) for i, (n, t) in enumerate(inserted))))
+    more = tables.withColumn("_c", rows).select("table_name", "_at", "_c.*")
+    order = Window.partitionBy("table_name").orderBy("_at", "_nth")
+    d = base.unionByName(more).withColumn("position", F.row_number().over(order).cast("long"))
+    return d.select(F.concat("table_name", F.lit(suffix)).alias("table_name"), "position", "column_name", "sql_type")

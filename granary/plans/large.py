@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators import digesttree, lists, paging, rangejoin, replay, rowdiff, views
+from granary.operators import constraints, digesttree, lists, paging, rangejoin, replay, rowdiff, schemadiff, views
+from granary.operators.constraints import Rule
 from granary.plans.registry import c, query
 from granary.scratch import scratch, stored
-from granary.sources import dumps
+from granary.sources import dumps, nested, scripts
 
 # Dumps
 
@@ -173,3 +174,73 @@ def q_replay_as_of(t):
     bindings, changes = (stored(d, "replay") for d in replay.resolve(log))
     last = t.events.agg(F.max("event_id")).first()[0] or 0
     return reduce(DataFrame.unionByName, (replay.as_of(bindings, changes, last // d).select(F.lit(last // d).cast("long").alias("position"), "*") for d in (4, 2, 1)))
+
+
+# Rules, scripts, nested values, spliced columns
+
+
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 90 <> 0 THEN o_orderkey // (CASE WHEN o_orderkey % 101 = 0 THEN 2 ELSE 1 END) END AS k, o_custkey, o_orderdate, CASE WHEN o_orderkey % 77 <> 0 THEN o_orderpriority END AS p, o_totalprice FROM orders),
+t AS (SELECT k FROM o GROUP BY k HAVING count(*) > 1 AND k IS NOT NULL), u AS (SELECT o_custkey, o_orderdate FROM o GROUP BY ALL HAVING count(*) > 1)
+SELECT 'orders_pk' AS rule, 'PRIMARY KEY' AS kind, count(*) AS n_rows FROM o WHERE k IS NULL OR k IN (SELECT k FROM t)
+UNION ALL SELECT 'priority_set', 'NOT NULL', count(*) FROM o WHERE p IS NULL
+UNION ALL SELECT 'one_a_day', 'UNIQUE', count(*) FROM o JOIN u USING (o_custkey, o_orderdate)
+UNION ALL SELECT 'price', 'CHECK', count(*) FROM o WHERE NOT (o_totalprice > 5000)
+UNION ALL SELECT 'customer_fk', 'FOREIGN KEY', count(*) FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0)""")
+def q_rule_violations(t):
+    k = F.when(c("o_orderkey") % 90 != 0, F.expr("o_orderkey div case when o_orderkey % 101 = 0 then 2 else 1 end"))
+    o = t.orders.select(k.alias("k"), "o_custkey", "o_orderdate", F.when(c("o_orderkey") % 77 != 0, c("o_orderpriority")).alias("p"), "o_totalprice")
+    rules = [
+        Rule("orders_pk", "PRIMARY KEY", ("k",)),
+        Rule("priority_set", "NOT NULL", ("p",)),
+        Rule("one_a_day", "UNIQUE", ("o_custkey", "o_orderdate")),
+        Rule("price", "CHECK", check="o_totalprice > 5000"),
+        Rule("customer_fk", "FOREIGN KEY", ("o_custkey",), parent=t.customer.filter("c_custkey % 11 <> 0"), parent_columns=("c_custkey",)),
+    ]
+    return constraints.violations(o, rules)
+
+
+@query("""WITH s AS (SELECT 's' || (user_id % 5) AS schema, CASE event_type WHEN 'signup' THEN 3 WHEN 'error' THEN 0 WHEN 'view' THEN 2 WHEN 'click' THEN 6 ELSE 8 END AS prio, event_id AS pos, upper(event_type) || ' u' || user_id || ';' AS line FROM events),
+d AS (SELECT * FROM s UNION ALL SELECT schema, 4, NULL, '-- Data Changes' FROM s GROUP BY schema HAVING min(prio) < 5 AND max(prio) >= 5)
+SELECT schema, CAST(0 AS BIGINT) AS chunk, count(*) AS n_values, string_agg(line, chr(10) ORDER BY prio, pos) AS text FROM d GROUP BY schema""")
+def q_ordered_scripts(t):
+    prio = F.when(c("event_type") == "signup", 3).when(c("event_type") == "error", 0).when(c("event_type") == "view", 2).when(c("event_type") == "click", 6).otherwise(8)
+    line = F.concat(F.upper("event_type"), F.lit(" u"), c("user_id").cast("string"), F.lit(";"))
+    path = scratch(t.spark, "scripts")
+    scripts.write_scripts(t.events.select(F.concat(F.lit("s"), (c("user_id") % 5).cast("string")).alias("schema"), prio.alias("priority"), c("event_id").alias("pos"), line.alias("statement")), path, data_from=5)
+    return lists.ordered_lists(scripts.read_scripts(t.spark, path), ["schema"], ["file", "line"], "text", "\n", ranges=50)
+
+
+_DOCS = """d AS (SELECT event_id, user_id, event_type, props, '{"event": {"type": "' || event_type || '", "props": ' || props || ', "who": {"user": ' || user_id || ', "tags": [null, "' || event_type || '"]}}}' AS doc FROM events WHERE event_id % 50 <> 0)"""
+
+
+@query(f"""WITH {_DOCS} SELECT event_id, depth, path, kind, scalar FROM d, LATERAL (VALUES (0, '$', 'OBJECT', NULL), (1, '$.event', 'OBJECT', NULL), (2, '$.event.type', 'STRING', event_type), (2, '$.event.props', 'OBJECT', NULL),
+  (3, '$.event.props.k', 'BIGINT', json_extract_string(props, '$.k')), (2, '$.event.who', 'OBJECT', NULL), (3, '$.event.who.user', 'BIGINT', CAST(user_id AS VARCHAR)), (3, '$.event.who.tags', 'ARRAY', NULL),
+  (4, '$.event.who.tags[0]', 'NULL', NULL), (4, '$.event.who.tags[1]', 'STRING', event_type)) v(depth, path, kind, scalar)
+UNION ALL SELECT event_id, -1, '', 'FAILED', event_type || ' {{' FROM events WHERE event_id % 50 = 0""")
+def q_nested_values(t):
+    doc = F.concat(F.lit('{"event": {"type": "'), "event_type", F.lit('", "props": '), "props", F.lit(', "who": {"user": '), c("user_id").cast("string"), F.lit(', "tags": [null, "'), "event_type", F.lit('"]}}}'))
+    good, bad = nested.parsed(t.events.select("event_id", F.when(c("event_id") % 50 == 0, F.concat("event_type", F.lit(" {"))).otherwise(doc).alias("doc")), "doc")
+    found = nested.descend(good.select("event_id", "value"), "value").select("event_id", "depth", "path", "kind", "scalar")
+    return found.unionByName(bad.select("event_id", F.lit(-1).alias("depth"), F.lit("").alias("path"), F.lit("FAILED").alias("kind"), c("doc").alias("scalar")))
+
+
+@query("""SELECT CAST(event_id AS BIGINT) AS event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id FROM events WHERE event_type IN ('click', 'purchase') UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_type NOT IN ('click', 'purchase')""")
+def q_shredded_by_type(t):
+    doc = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "body": {"props": '), "props", F.lit(', "user": '), c("user_id").cast("string"), F.lit("}}"))
+    good = nested.parsed(t.events.select("event_id", doc.alias("doc")), "doc")[0].select("event_id", "value")
+    shape = {"kind": "$.type string", "k": "$.body.props.k bigint", "user_id": "$.body.user bigint"}
+    tables = nested.shredded(good, "value", "$.type", {"click": shape, "purchase": shape})
+    return tables["click"].unionByName(tables["purchase"]).unionByName(tables[""].drop("value"), allowMissingColumns=True)
+
+
+@query("""WITH k AS (SELECT 'S' || l_suppkey AS table_name, l_linenumber AS position, CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN 'aud_user' WHEN l_linenumber = 3 AND l_suppkey % 2 = 0 THEN 'its' ELSE 'c' || l_linenumber END AS column_name, 'N' || max(l_linenumber) AS sql_type FROM lineitem GROUP BY ALL),
+a AS (SELECT * FROM (VALUES (1, 'AUD_USER'), (2, 'AUD_TIME'), (3, 'AUD_OP'), (4, 'AUD_A'), (5, 'AUD_B'), (6, 'AUD_C'), (7, 'AUD_D')) v(nth, name)),
+placed AS (SELECT table_name, coalesce(min(position) FILTER (WHERE upper(column_name) = 'ITS') - 0.5, max(position) + 0.5) AS place FROM k GROUP BY table_name),
+r AS (SELECT table_name, CAST(position AS DOUBLE) AS place, 0 AS nth, column_name, sql_type FROM k WHERE upper(column_name) NOT IN (SELECT name FROM a) UNION ALL SELECT table_name, place, nth, name, 'T' || nth FROM placed, a)
+SELECT table_name || '_AT' AS table_name, row_number() OVER (PARTITION BY table_name ORDER BY place, nth) AS position, column_name, sql_type FROM r""")
+def q_spliced_columns(t):
+    n = c("l_linenumber")
+    name = F.when((n == 2) & (c("l_suppkey") % 3 == 0), "aud_user").when((n == 3) & (c("l_suppkey") % 2 == 0), "its").otherwise(F.concat(F.lit("c"), n.cast("string")))
+    cols = t.lineitem.select(F.concat(F.lit("S"), c("l_suppkey").cast("string")).alias("table_name"), n.alias("position"), name.alias("column_name"), F.concat(F.lit("N"), n.cast("string")).alias("sql_type")).distinct()
+    audit = ["AUD_USER", "AUD_TIME", "AUD_OP", "AUD_A", "AUD_B", "AUD_C", "AUD_D"]
+    return schemadiff.splice_columns(cols, [(a, f"T{i + 1}") for i, a in enumerate(audit)], "its")
