@@ -7,7 +7,7 @@ Sizes for which keys would meet too seldom do without: there, whatever keeps eno
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -218,11 +218,32 @@ def _likely(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray, need: np.nd
 
 
 def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, first word, end, edit distance) for each text and each item that it holds: the best match around the first window, in order of words, that leads to one."""
+    """(row, item, first word, end, edit distance) for each text and each item that it holds: the best match around the first window, in order of words, that leads to one.
+
+    A text with more than HITS gram hits is searched in slices of its words, which overlap by what the longest item's copy can span; items that were found are not looked for in later slices.
+    """
     flags = {}
     for g, (keys, _, _) in index.grams.items():
         flags[g] = np.zeros(1 << 20, bool)
         flags[g][(keys >> np.uint64(44)).astype(np.int64)] = True
+    large: list[tuple[int, np.ndarray, np.ndarray]] = []
+    out = _search(enumerate(each_words(texts, PLAIN)), index, flags, np.zeros(len(index.items), bool), large)
+    reach = max((len(w) + 2 * allowed(len(w), index.share) for w in index.items), default=0) + 1
+    for row, w, n_hits in large:
+        before, at, done = np.cumsum(n_hits), 0, np.zeros(len(index.items), bool)
+        while at < len(w):
+            seen = int(before[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(before, seen + HITS // 2, "right")))
+            for _, i, first, end, distance in _search([(row, w[at : stop + reach])], index, flags, done, None):
+                if at + first < stop:  # else the next slice has it whole
+                    out.append((row, i, at + first, at + end, distance))
+                    done[i] = True
+            at = stop
+    return [(row, index.ids[i], *x) for row, i, *x in sorted(out)]
+
+
+def _search(rows: Iterable[tuple[int, np.ndarray]], index: Index, flags: dict[int, np.ndarray], done: np.ndarray, large: list | None) -> list[tuple[int, int, int, int, int]]:
+    """See search, with places of items in the index instead of their ids. `rows` are numbers and words, `done` the items that are left out; rows with too many hits go to `large` with the hits of each word, if that is a list."""
     docs: dict[int, np.ndarray] = {}
     starts: list[np.ndarray] = []  # row, window start, window size
     whole: list[np.ndarray] = []  # row, item, diagonal, of items without walks
@@ -244,21 +265,30 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
             docs.pop(r, None)
         hits.clear()
 
-    for row, w in enumerate(each_words(texts, PLAIN)):
+    for row, w in rows:
         if n_hits > HITS:  # between texts, so that all hits of one are seen together
             look()
             n_hits = 0
+        own, at_word = [], np.zeros(len(w), np.int64)
         for g, (keys, item, place) in index.grams.items():
             h = _grams(w, g)
             at = _seen(h, keys, flags[g])
             if not len(at):
                 continue
-            docs[row] = w
-            low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            n = high - low
+            low = np.searchsorted(keys, h[at], "left")
+            n = np.searchsorted(keys, h[at], "right") - low
+            at_word[at] += n
+            own.append((at, low, n, item, place))
+        if large is not None and at_word.sum() > HITS:
+            large.append((row, w.copy(), at_word))
+            continue
+        for at, low, n, item, place in own:
             k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hits.append((np.full(len(k), row), item[k], np.repeat(at, n) - place[k]))
-            n_hits += len(k)
+            left = ~done[item[k]]
+            if left.any():
+                docs[row] = w
+                hits.append((np.full(int(left.sum()), row), item[k][left], (np.repeat(at, n) - place[k])[left]))
+                n_hits += int(left.sum())
     if hits:
         look()
     if not starts:
@@ -296,7 +326,7 @@ def search(texts: pa.Array, index: Index) -> list[tuple[int, int, int, int, int]
         distance, end = best_match(w, docs[row][first : int(near[-1, 2]) + len(w) + 2 * e])
         if distance <= e and (row, i) not in found:
             found[row, i] = (first + begins(w, docs[row][first:], end), first + end, distance)
-    return [(row, index.ids[i], *x) for (row, i), x in sorted(found.items())]
+    return [(row, i, *x) for (row, i), x in found.items()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
