@@ -22,8 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages"), scratch(spark, "archives")
     warc.archive(pages, folder)
-    found = warc.find_captures(warc.keys_of(pages), f"{folder}/index")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.fetch_records(warc.find_captures(warc.keys_of(pages), f"{folder}/index"))
+    # Of responses what was read counts, of revisits what their headers say.
+    size = F.when(F.col("record_type") == "revisit", F.col("headers")["x-payload-length"].cast("long")).otherwise(F.length("payload").cast("long"))
+    digest = F.when(F.col("record_type") == "revisit", F.replace(F.col("headers")["warc-payload-digest"], F.lit("sha1:"), F.lit(""))).otherwise(F.sha1("payload"))
+    return found.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

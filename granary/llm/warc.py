@@ -10,19 +10,20 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import lookup, stored
+from granary.llm.common import lookup, small_batches, stored
 
 CRLF = "\r\n"
 FILE_BYTES = 16_000_000
 BLOCK_LINES = 3000
-#: Bytes of blocks that one range of an index file holds; ranges without a wanted block are not read.
-GROUP_BYTES = 1 << 20
-#: Blocks whose numbers go to the reader, which then skips all others; where more are wanted, nearly every range has one.
-MOST_NAMED = 1000
+#: Blocks that one range of an index file holds; ranges without a wanted block are not read.
+RANGE_BLOCKS = 1
+#: Spans of wanted blocks that the reader is told; where there are more, those with the least blocks between them are read as one.
+MOST_SPANS = 512
 #: Groups of equal payloads, and index blocks, that are broadcast at most; more of them are joined by shuffling.
 BROADCAST_GROUPS, BROADCAST_BLOCKS = 200_000, 500_000
 #: What a URL starts with: scheme, user and host; the rest follows.
@@ -122,10 +123,11 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_index(records: DataFrame, folder: str) -> None:
-    """Sorts captures by key over shards and writes blocks of BLOCK_LINES of them: shard, block, first (key), n and data (zlib of JSON lines). A shard is a folder, and its file has ranges of GROUP_BYTES whose block numbers its footer tells."""
+    """Sorts captures by key over shards and writes blocks of BLOCK_LINES of them: shard, block, first (key), n and data (zlib of JSON lines). A shard is a folder, and its file has ranges of RANGE_BLOCKS blocks whose least and greatest number its footer tells."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, held, first = TaskContext.get().partitionId(), 0, [], ""
+        shard = TaskContext.get().partitionId()
+        block, held, first = shard << 32, [], ""  # the numbers of two shards differ
 
         def out() -> pa.RecordBatch:
             data = zlib.compress("\n".join(held).encode())
@@ -143,7 +145,7 @@ def write_index(records: DataFrame, folder: str) -> None:
             yield out()
 
     blocks = records.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(pack, "shard long, block long, first string, n long, data binary")
-    blocks.write.option("parquet.block.size", GROUP_BYTES).partitionBy("shard").parquet(folder)
+    blocks.write.option("parquet.block.row.count.limit", RANGE_BLOCKS).partitionBy("shard").parquet(folder)
 
 
 def find_captures(wanted: DataFrame, folder: str) -> DataFrame:
@@ -190,10 +192,81 @@ def find_captures(wanted: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("key", "file", "record_type", "payload_digest") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    named = at.select("shard", "block").distinct().limit(MOST_NAMED + 1).collect()
-    if len(named) <= MOST_NAMED:  # only speed depends on this
-        index = index.filter(F.col("shard").isin(sorted({r.shard for r in named})) & F.col("block").isin(sorted({r.block for r in named})))
-    return asked.join(index.select("shard", "block", "data"), ["shard", "block"]).select("keys", "data").mapInArrow(search, _LINE)
+    part = index.select("shard", "block", "data").filter(_within(_spans(at)))
+    return asked.join(part, ["shard", "block"]).select("keys", "data").mapInArrow(search, _LINE)
+
+
+def _spans(at: DataFrame) -> list[tuple[int, int, int]]:
+    """(shard, first, last) of spans that hold all wanted blocks (shard, block), MOST_SPANS at most but one a shard at least: the widest gaps stay out."""
+    blocks = at.select("shard", "block").distinct()
+    named = blocks.limit(BROADCAST_BLOCKS + 1).collect()
+    if len(named) > BROADCAST_BLOCKS:
+        ends = blocks.groupBy("shard").agg(F.min("block").alias("low"), F.max("block").alias("high")).collect()  # one row a shard
+        return [tuple(r) for r in ends]
+    spans = sorted((r.shard, r.block, r.block) for r in named)
+    gaps = sorted((b[1] - a[2], i) for i, (a, b) in enumerate(zip(spans, spans[1:], strict=False)) if a[0] == b[0])
+    joined = {i for gap, i in gaps[: max(0, len(spans) - MOST_SPANS)]} | {i for gap, i in gaps if gap == 1}
+    out: list[tuple[int, int, int]] = []
+    for i, (shard, first, last) in enumerate(spans):
+        if i - 1 in joined:
+            out[-1] = shard, out[-1][1], last
+        else:
+            out.append((shard, first, last))
+    return out
+
+
+def _within(spans: list[tuple[int, int, int]]) -> Column:
+    """A filter that keeps these spans: folders and ranges of other blocks are not read. Conditions are put together in halves, so that they nest little."""
+    if len(spans) > 1:
+        return _within(spans[: len(spans) // 2]) | _within(spans[len(spans) // 2 :])
+    if not spans:
+        return F.lit(False)
+    shard, first, last = spans[0]
+    return (F.col("shard") == shard) & (F.col("block") >= first) & (F.col("block") <= last)
+
+
+_RECORD = _LINE + ", headers map<string,string>, payload binary"
+
+
+def fetch_records(found: DataFrame) -> DataFrame:
+    """Captures with `headers` and `payload` (null for revisits) of their records: the byte ranges are read inside tasks, each task by file and offset.
+
+    Files are opened by pyarrow, which reads local and mounted folders, s3, gs and hdfs; `file` is the path that the index has. A capture with a null file or offset gives no row, repeated ones are
+    read again; nothing else of a file is read. Records of any length below 2 GB are held one at a time.
+    """
+    names = [x.split()[0] for x in _LINE.split(", ")]
+    kinds = [pa.string() if n in ("key", "file", "record_type", "payload_digest") else pa.int64() for n in names]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, source = None, None
+        for b in batches:
+            rows, size = [], 0
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, _, file, offset, length, kind, *_ = row
+                if file != at:
+                    if source:
+                        source.close()
+                    system, path = pa.fs.FileSystem.from_uri(file)
+                    at, source = file, system.open_input_file(path)
+                source.seek(offset)
+                _, _, headers, block = next(parse(source.read(length)))
+                rows.append((*row, list(headers.items()), block[block.find(b"\r\n\r\n") + 4 :] if kind == "response" else None))
+                size += length
+                if size > FILE_BYTES:
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
+        if source:
+            source.close()
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [*kinds, pa.map_(pa.string(), pa.string()), pa.binary()], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "headers", "payload"])
+
+    small_batches(found.sparkSession)
+    d = found.filter("file is not null and offset is not null").repartition("file").sortWithinPartitions("file", "offset")
+    return d.select(*names).mapInArrow(read, _RECORD)
 
 
 def read_record(spark: SparkSession, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:

@@ -269,7 +269,11 @@ def test_warc_round_trip(spark, monkeypatch):
     assert {r.page_id for r in warc.find_captures(some, f"{folder}/index").collect()} == want
     plan = warc.find_captures(some, f"{folder}/index")._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*shard", plan) and re.search(r"PushedFilters: \[[^\]]*block", plan)
-    monkeypatch.setattr(warc, "MOST_NAMED", 0)
+    records = warc.fetch_records(warc.find_captures(warc.keys_of(pages), f"{folder}/index")).collect()
+    assert len(records) == len(rows)
+    for r in records:
+        assert r.headers["warc-type"] == r.record_type and r.payload == (None if r.record_type == "revisit" else html[r.page_id].encode())
+    monkeypatch.setattr(warc, "MOST_SPANS", 1)
     assert {r.page_id for r in warc.find_captures(some, f"{folder}/index").collect()} == want
     monkeypatch.setattr(warc, "BROADCAST_BLOCKS", 0)
     assert {r.page_id for r in warc.find_captures(some, f"{folder}/index").collect()} == want
