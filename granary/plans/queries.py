@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import sql as fn
@@ -114,6 +116,12 @@ def q_not_in_with_null(t):
     return joins.not_in_subquery(t.customer.select("c_custkey"), "c_custkey", t.orders.select(F.when(c("o_orderkey") % 7 != 0, c("o_custkey"))))
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT n FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS n FROM orders WHERE o_totalprice > 300000) WHERE n IS NOT NULL)")
+def q_not_in_without_nulls(t):
+    rows = t.orders.filter("o_totalprice > 300000").select(F.when(c("o_orderkey") % 7 != 0, c("o_custkey")).alias("n")).filter("n is not null")
+    return joins.not_in_subquery(t.customer.select("c_custkey"), "c_custkey", rows)
+
+
 @query("SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderstatus) IN (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 400000)")
 def q_tuple_in(t):
     return joins.in_subquery(t.orders, ["o_custkey", "o_orderstatus"], t.orders.filter("o_totalprice > 400000").select("o_custkey", "o_orderstatus")).select("o_orderkey")
@@ -885,4 +893,27 @@ def q_shipping_priority(t):
     return g.orderBy(F.desc("revenue"), "o_orderkey").limit(10).select("o_orderkey", "revenue", "o_orderdate")
 
 
+_INV = """SELECT '{k}' AS kind, CASE WHEN n.k IS NULL THEN 'OLD_ONLY' WHEN o.k IS NULL THEN 'NEW_ONLY' ELSE 'BOTH' END AS status, count(*) AS n FROM (SELECT DISTINCT {c} AS k FROM ({o})) o FULL JOIN (SELECT DISTINCT {c} AS k FROM ({n})) n ON o.k = n.k GROUP BY ALL"""
+
+
+@query(
+    " UNION ALL ".join(
+        _INV.format(k=k, c=key, o=o, n=n)
+        for k, key, o, n in (
+            ("TABLE", "table_name", _OLD_CAT, _NEW_CAT),
+            ("COLUMN", "table_name || '.' || column_name", _OLD_CAT, _NEW_CAT),
+            ("CONSTRAINT", "table_name || '.' || kind || '.' || coalesce(name, '')", _CON.format("event_id % 3 <> 0"), _CON.format("event_id % 3 <> 1")),
+            ("INDEX", "l_suppkey || '.' || l_linenumber", "SELECT * FROM lineitem", "SELECT * FROM lineitem WHERE l_suppkey % 5 <> 0"),
+        )
+    )
+)
+def q_inventory_all(t):
+    tables = [d.select(c("table_name").alias("k")) for d in _catalogs(t)]
+    columns = [d.select(F.concat_ws(".", "table_name", "column_name").alias("k")) for d in _catalogs(t)]
+    constraints = [_constraints(t, f"event_id % 3 <> {i}").select(F.concat_ws(".", "table_name", "kind", F.coalesce("name", F.lit(""))).alias("k")) for i in (0, 1)]
+    indexes = [d.select(F.concat_ws(".", "l_suppkey", "l_linenumber").alias("k")) for d in (t.lineitem, t.lineitem.filter("l_suppkey % 5 <> 0"))]
+    parts = (("TABLE", tables), ("COLUMN", columns), ("CONSTRAINT", constraints), ("INDEX", indexes))
+    return reduce(DataFrame.unionByName, (joins.status_join(*two, ["k"], ("OLD", "NEW")).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "status", "n") for kind, two in parts))
+
+
 from granary.plans import large  # noqa: E402, F401  registers its queries
