@@ -51,6 +51,32 @@ def test_language_id_rejects_a_language_not_learnt(spark):
         assert share[True] > 0.8 and share[False] < 0.03
 
 
+def test_language_id_rejects_by_language_at_all_lengths(spark):
+    docs = table(spark, SF, "documents").filter("text is not null and lang is not null")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    counts = dict.fromkeys(((n, f) for n in (50, 200, 1000) for f in (True, False)), (0, 0))
+    for lang in ("de", "en", "es", "fr"):
+        model = language_id.fit(docs.filter(~held_out & (F.col("lang") != lang)))
+        for n in (50, 200, 1000):
+            cut = docs.filter(held_out & (F.length("text") >= n)).withColumn("text", F.substring("text", 1, n))
+            for r in language_id.identify(cut, model).groupBy((F.col("lang") == lang).alias("f")).agg(F.sum(F.col("lang_rejected").cast("int")).alias("no"), F.count("*").alias("n")).collect():
+                a, b = counts[n, r.f]
+                counts[n, r.f] = (a + r.no, b + r.n)
+    assert all(no / of >= 0.8 if foreign else no / of <= 0.01 for (_, foreign), (no, of) in counts.items()), counts
+    model = language_id.fit(docs.filter(~held_out))
+    for text in ("Il gatto dorme sul divano mentre la pioggia cade lenta sulla citta.", "Kissa nukkuu sohvalla kun sade putoaa hitaasti kaupungin kaduille."):
+        assert model.predict([text, text * 5]) and all(rejected for *_, rejected in model.predict([text, text * 5]))
+
+
+def test_language_id_takes_no_more_languages_than_it_can_hold(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    d = spark.createDataFrame([(1, "eins zwei", "de"), (2, "one two", "en")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.fit(d)
+    model = language_id.fit(d.filter("lang = 'en'"))
+    assert (model.langs, model.predict(["one two"])[0][0]) == (["en"], "en")
+
+
 def test_toxicity(spark):
     d = queries.op1_toxicity(spark, SF).join(table(spark, SF, "documents").select("doc_id", "text"), "doc_id").collect()
     bad = re.compile(r"\b(?:trash|pathetic|idiot|worthless|disgusting|stupid|clown|loser|scum|moron)\b", re.I)  # what the made-up documents are labelled for
