@@ -84,10 +84,10 @@ def _bucket(n: np.ndarray) -> np.ndarray:
 
 
 def _nearest(cos: np.ndarray, starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of cosines to centroids, those of a language beginning at each of `starts`: the nearest language, its cosine, and its lead over the next (with one language the cosine itself)."""
+    """Of cosines to centroids, those of a language beginning at each of `starts`: the nearest language, its cosine, and how near it is: the cosine and, with three languages or more, its lead over the next."""
     each = np.maximum.reduceat(cos, starts, axis=1)
     best, top = each.argmax(axis=1), each.max(axis=1)
-    return best, top, top - np.partition(each, -2, axis=1)[:, -2] if each.shape[1] > 1 else top
+    return best, top, 2 * top - np.partition(each, -2, axis=1)[:, -2] if each.shape[1] > 2 else top
 
 
 @dataclass
@@ -96,8 +96,7 @@ class Centroids:
     starts: list[int]  # each language's first row of vectors
     vectors: np.ndarray
     idf: np.ndarray
-    floors: np.ndarray  # least cosine by log2 of the number of n-grams
-    leads: np.ndarray  # least lead over the next language, likewise
+    floors: np.ndarray  # how near a text has to be, by log2 of the number of n-grams
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = []
@@ -106,9 +105,8 @@ class Centroids:
             if not self.langs:
                 out += [("und", 0.0, True)] * len(n)
                 continue
-            best, top, lead = _nearest(_unit(counts, self.idf) @ self.vectors.T, self.starts)
-            far = (top < self.floors[_bucket(n)]) | (lead < self.leads[_bucket(n)])
-            for m, b, s, r in zip(n, best, top, far, strict=True):
+            best, top, near = _nearest(_unit(counts, self.idf) @ self.vectors.T, self.starts)
+            for m, b, s, r in zip(n, best, top, near < self.floors[_bucket(n)], strict=True):
                 out.append((self.langs[b], float(min(max(s, 0.0), 1.0)), bool(r)) if m else ("und", 0.0, True))
         return out
 
@@ -133,9 +131,9 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 800, error: float = 0.
 
     A fourth of the sample sets the floors and has no part in the centroids: whole texts, and a piece of each length in PIECES of each text.
     A text is known with all centroids, and foreign with all but those of its own language. For texts of a length (log2 of the number of n-grams)
-    there are two floors, of the cosine to the nearest language and of its lead over the next one. Each lies below all but `error` of the known texts
-    and above FOREIGN of the foreign ones: where that is possible, NEAR of the way up from these, and else at the lower end, so that
-    known languages are kept. With fewer than three languages, foreign texts have no lead, and there is no floor for it.
+    there is a floor of the cosine to the nearest language plus its lead over the next one (with fewer than three languages, of the cosine alone).
+    It lies below all but `error` of the known texts and above FOREIGN of the foreign ones: where that is possible, NEAR of the way up from these,
+    and else at the lower end, so that known languages are kept.
 
     Each language's centroids are made in a task of their own from its part of the sample; the driver gets centroids, frequencies and quantiles alone.
     Without a row to learn from, everything is `und` and rejected. Repeated rows count once in the sample; over MOST_LANGUAGES languages are an error.
@@ -186,7 +184,7 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 800, error: float = 0.
     found = learnt.filter("piece = -1").orderBy("lang", "h").collect()  # `clusters` rows a language
     langs = sorted({r.lang for r in found})
     if not langs:
-        return Centroids([], [], np.zeros((0, DIM), np.float32), idf, np.zeros(64), np.zeros(64))
+        return Centroids([], [], np.zeros((0, DIM), np.float32), idf, np.zeros(64))
     vectors = np.array([np.frombuffer(r.v, dtype=np.float32) for r in found])
     owners = np.searchsorted(langs, [r.lang for r in found])
     starts = np.searchsorted(owners, np.arange(len(langs))).tolist()
@@ -196,22 +194,19 @@ def fit(docs: DataFrame, clusters: int = 4, sample: int = 800, error: float = 0.
             lang, n, v = (b.column(k).to_pylist() for k in range(3))
             for at in range(0, len(v), 256):
                 cos = _unit(_unpacked(v[at : at + 256]), idf) @ vectors.T
-                _, top, lead = _nearest(cos, starts)
+                _, _, known = _nearest(cos, starts)
                 cos[owners[None, :] == np.searchsorted(langs, lang[at : at + 256])[:, None]] = 0
-                _, other, its_lead = _nearest(cos, starts)
-                values = [_bucket(np.array(n[at : at + 256], dtype=np.int64)), *(x.astype(float) for x in (top, lead, other, its_lead))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["b", "top", "lead", "other", "its_lead"])
+                _, _, foreign = _nearest(cos, starts)
+                values = [_bucket(np.array(n[at : at + 256], dtype=np.int64)), known.astype(float), foreign.astype(float)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["b", "known", "foreign"])
 
-    judges = learnt.filter("piece >= 0").select("lang", "n", "v").mapInArrow(judged, "b long, top double, lead double, other double, its_lead double")
-    low, high = F.lit(error), F.lit(FOREIGN)
-    rows = judges.groupBy("b").agg(F.count("*").alias("n"), *(F.percentile(c, q).alias(c) for c, q in (("top", low), ("lead", low), ("other", high), ("its_lead", high)))).filter("n >= 10").collect()  # 64 rows at most
-    floors = _floors({r.b: (r.top, r.other) for r in rows})
-    leads = _floors({r.b: (r.lead, r.its_lead) for r in rows}) if len(langs) > 2 else np.zeros(64)
-    return Centroids(langs, starts, vectors, idf, floors, leads)
+    judges = learnt.filter("piece >= 0").select("lang", "n", "v").mapInArrow(judged, "b long, known double, foreign double")
+    rows = judges.groupBy("b").agg(F.count("*").alias("n"), F.percentile("known", F.lit(error)).alias("low"), F.percentile("foreign", F.lit(FOREIGN)).alias("high")).filter("n >= 10").collect()  # 64 rows at most
+    return Centroids(langs, starts, vectors, idf, _floors({r.b: (r.low, r.high) for r in rows}))
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score (cosine to the nearest centroid, 0 to 1) and lang_rejected (nearer to none than the floor for its length, or hardly nearer to one than to the next).
+    """docs with lang_pred, lang_score (cosine to the nearest centroid, 0 to 1) and lang_rejected (its cosine and lead over the next language are below the floor for its length).
 
     A text that is null or has no letter is `und` with score 0 and rejected. Whole texts count, however long; equal texts get equal
     results; of equally near languages the first by name counts; an empty table gives an empty result. Columns of docs that have these names are replaced.
