@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
@@ -68,10 +70,15 @@ GENERATORS = (
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,m:string,before:string,after:string,base:boolean>>"
 
 
+def _once(make: Callable[[Column], Column], *values: Column) -> Column:
+    """make of a struct of the values, which are computed once each, however often make uses them, in lambdas too."""
+    return F.get(F.transform(F.array(F.struct(*values)), make), F.lit(0))
+
+
 def _matches(text: Column, g: Generator) -> Column:
     """The generator's candidates, leftmost and not overlapping, with places in code points (end exclusive) and what stands around them."""
-    between, found = F.split(text, g.pattern, -1), F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0))
-    each = F.arrays_zip(between.alias("gap"), F.concat(found, F.array(F.lit(None).cast("string"))).alias("m"), F.concat(F.slice(between, 2, 2**31 - 2), F.array(F.lit(""))).alias("next"))
+    between, found = F.split(text, g.pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(g.pattern), F.lit(0)).alias("found")
+    each = lambda v: F.arrays_zip(v["between"].alias("gap"), F.concat(v["found"], F.array(F.lit(None).cast("string"))).alias("m"), F.concat(F.slice(v["between"], 2, 2**31 - 2), F.array(F.lit(""))).alias("next"))
 
     def step(state: Column, x: Column) -> Column:
         gap, m, after = x["gap"], x["m"], x["next"]
@@ -83,7 +90,8 @@ def _matches(text: Column, g: Generator) -> Column:
         return F.struct(end.alias("at"), F.when(take, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
     empty = F.array().cast(_SPAN)
-    return F.when(text.rlike(g.wanted), F.aggregate(each, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])).otherwise(empty)
+    spans = _once(lambda v: F.aggregate(each(v), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"]), between, found)
+    return F.when(text.rlike(g.wanted), spans).otherwise(empty)
 
 
 FEATURES = 23
@@ -156,8 +164,8 @@ def injected(docs: DataFrame, each: int = EACH, id_col: str = "id", text_col: st
     hexed = F.sha2(hash_(10).cast("string"), 256)
     r = r.select("id", "_t", form.alias("_form"), digits.alias("_d"), letters.alias("_l"), mixed.alias("_m"), hexed.alias("_x"), choose(lambda k: _pick(MADE[k][0], hash_(11))).alias("_cue"), choose(lambda k: F.lit(k[0])).alias("kind"), choose(lambda k: F.lit(k[1])).alias("truth"), _pick(_TAILS, hash_(12)).alias("_tail"), F.pmod(hash_(13), F.greatest(F.char_length("_t"), F.lit(1))).cast("int").alias("_at"))
     one = lambda text, i: F.substr(text, i + 1, F.lit(1))
-    put = lambda x, i: F.when(x == "#", one(F.col("_d"), i)).when(x == "@", one(F.col("_l"), i)).when(x == "?", one(F.col("_m"), i)).when(x == "$", one(F.col("_x"), i)).otherwise(x)
-    span = F.array_join(F.transform(F.split("_form", ""), put), "")
+    put = lambda v: lambda x, i: F.when(x == "#", one(v["_d"], i)).when(x == "@", one(v["_l"], i)).when(x == "?", one(v["_m"], i)).when(x == "$", one(v["_x"], i)).otherwise(x)
+    span = _once(lambda v: F.array_join(F.transform(F.split(v["_form"], ""), put(v)), ""), *map(F.col, ("_form", "_d", "_l", "_m", "_x")))
     left = F.concat(F.regexp_replace(F.substr("_t", F.col("_at") + 1, F.lit(40)), r"[^\p{L} ]", ""), F.lit(" "), F.col("_cue"))
     right = F.concat("_tail", F.regexp_replace(F.substr("_t", F.lit(1), F.lit(30)), r"[^\p{L} ]", ""))
     r = r.select("id", "kind", "truth", left.alias("_left"), span.alias("_span"), right.alias("_right"))
@@ -200,55 +208,69 @@ def _nodes(node) -> object:
     return split.featureIndex(), split.threshold(), _nodes(node.leftChild()), _nodes(node.rightChild())
 
 
-def fit(docs: DataFrame, sample: int = 20_000, trees: int = 10, depth: int = 3, precision: float = 0.98, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees trained on at most `sample` candidates of about `sample` documents, chosen by a hash of the id.
+#: Steps of the probability at which thresholds are sought.
+STEPS = 10_000
 
-    There are no labels of spans, so they are made: short texts are cut from the sample, and in each stands a made span, personal data or what looks like it (`injected`). A candidate
-    that is a made span as a whole is labelled as that was made, one that overlaps it otherwise is negative. Of candidates in the texts as they are, those that overlap a span of the base rules are
-    positive, and dates, decimals, numbers after a word for ids, numbers of under 9 or over 15 digits and cards and ips that fail the rules are negative; all others have no label and are left out.
 
-    Trees are trained on each half of the candidates, by hash, and the mean of both margins counts. Each half's trees judge the other half
-    to calibrate: for each kind the least probability (halfway to the next lower one) from which on the share of positives among candidates outside
-    the base spans, which alone can be added, is at least `precision`, over at least `least` of them. Without both classes in both halves, or for kinds that never get there, nothing is added.
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(half, kind, base, x, label, n): every labelled candidate of all documents and of the texts made from each of them, counted by equal features; stored.
+
+    A candidate that is a made span as a whole is labelled as that was made, one that overlaps it otherwise is negative; those that the base rules take say nothing about what
+    they leave and don't count. Of candidates in the texts as they are, those that overlap a span of the base rules are positive, and dates, decimals, numbers after a word for ids,
+    numbers of under 9 or over 15 digits and cards and ips that fail the rules are negative; all others have no label and are left out. Halves are chosen by a hash of the candidate.
     """
-    total = docs.count()
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if total > sample:
-        some = some.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) * F.lit(total) < F.lit(sample * 1_000_003))
-    c = stored(candidates(stored(some, "pii-sample"), "text").select("id", "spans"), "pii-sample-spans")  # stored twice, so that generators see the sample alone, and once
-    c = c.withColumn("base", F.filter("spans", lambda s: s["base"])).select("id", "base", F.posexplode("spans").alias("at", "c"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    columns = lambda h, label, base: [F.pmod(h, F.lit(2)).alias("half"), F.col("c.kind").alias("kind"), base.alias("base"), F.array(*_features(F.col("c"))).cast("array<int>").alias("x"), label.cast("double").alias("label")]
+    own = stored(candidates(docs).select("id", "spans"), "pii-own")  # stored, so that generators run once
+    own = own.withColumn("base", F.filter("spans", lambda s: s["base"])).select("id", "base", F.posexplode("spans").alias("at", "c"))
     base = F.exists("base", lambda b: _overlap(b, F.col("c")))
-    label = F.when(base, True).otherwise(_evidence(F.col("c")))
-    columns = lambda label, base: [F.col("c.kind").alias("kind"), base.alias("base"), F.array(*_features(F.col("c"))).alias("x"), label.cast("double").alias("label")]
-    rows = c.select(F.xxhash64("id", "at").alias("h"), *columns(label, base)).filter("label is not null")
-    few = some.orderBy(F.xxhash64("id", F.lit(1)), F.xxhash64("text")).limit(max(1, sample // 2 // EACH))  # enough for half of the sample
-    made = candidates(stored(injected(stored(few, "pii-made"), EACH), "pii-made-texts"), "text").select("id", F.col("kind").alias("_kind"), "truth", "start", "end", F.posexplode("spans").alias("at", "c"))
-    made = made.filter((F.col("c.start") < F.col("end")) & (F.col("start") < F.col("c.end")))
+    own = own.select(*columns(F.xxhash64("id", "at"), F.when(base, True).otherwise(_evidence(F.col("c"))), base)).filter("label is not null")
+    made = candidates(injected(docs)).withColumn("spans", F.filter("spans", lambda s: ~s["base"] & (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    made = stored(made.select("id", F.col("kind").alias("_kind"), "truth", "start", "end", "spans"), "pii-made").withColumn("c", F.explode("spans"))
     truth = F.col("truth") & (F.col("c.kind") == F.col("_kind")) & (F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end"))
-    # A made number that the base rules take says nothing about what they leave.
-    made = made.filter(~F.col("c.base")).select(F.xxhash64("id", "start", "end", "c.m").alias("h"), *columns(truth, F.lit(False)))
-    rows = rows.orderBy("h").limit(sample // 2).unionByName(made.orderBy("h").limit(sample // 2))
-    rows = stored(rows, "pii-candidates")
+    made = made.select(*columns(F.xxhash64("id", "start", "end", "c.m"), truth, F.lit(False)))
+    return stored(own.unionByName(made).groupBy("half", "kind", "base", "x", "label").agg(F.count("*").alias("n")), "pii-labelled")
+
+
+def thresholds(judged: DataFrame, precision: float, least: int) -> dict[str, float]:
+    """Of (kind, p, label, n): for each kind the least probability, sought at STEPS steps and set halfway to the next lower one, from which on the share of positives among all n is at least `precision`, over at least `least` of them."""
+    steps = judged.groupBy("kind", F.floor(F.col("p") * STEPS).alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("good"), F.min("p").alias("low"), F.max("p").alias("high")).collect()  # STEPS + 1 rows a kind at most
+    out = {}
+    for kind in KINDS:
+        mine = sorted((r for r in steps if r.kind == kind), key=lambda r: -r.step)
+        n = good = 0
+        for i, r in enumerate(mine, 1):
+            n, good = n + r.n, good + r.good
+            if n >= least and good >= precision * n:
+                out[kind] = (r.low + (mine[i].high if i < len(mine) else min(r.low, 0.5))) / 2
+    return out
+
+
+def fit(docs: DataFrame, trees: int = 10, depth: int = 3, precision: float = 0.98, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Trees:
+    """Trees trained and calibrated on the candidates of all documents.
+
+    There are no labels of spans, so they are made: short texts are cut from every document, and in each stands a made span, personal data or what looks like it (`injected`, `labelled`).
+    Candidates with the same features and label are one row that weighs their number.
+
+    Trees are trained on each half of the candidates, by hash, and the mean of both margins counts. Each half's trees judge the other half
+    to calibrate (`thresholds`), by its candidates outside the base spans, which alone can be added. Without both classes in both halves, or for kinds that never get to the precision, nothing is added.
+    """
+    rows = labelled(docs, id_col, text_col)
     out, judged = Trees(), []
     x = [F.col("x")[i] for i in range(FEATURES)]
+    bins = max(32, math.isqrt(rows.count()) + 1)  # Spark seeks splits in a sample where there are over bins^2 rows
     for half in (0, 1):
-        train, rest = rows.filter(F.pmod("h", F.lit(2)) == half), rows.filter(F.pmod("h", F.lit(2)) != half)
+        train, rest = rows.filter(F.col("half") == half), rows.filter(F.col("half") != half)
         if train.select("label").distinct().count() < 2:
             return Trees()
-        model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(train.select(array_to_vector("x").alias("v"), "label").coalesce(2))
+        classifier = GBTClassifier(featuresCol="v", labelCol="label", weightCol="n", maxIter=trees, maxDepth=depth, maxBins=bins, seed=7)
+        model = classifier.fit(train.select(array_to_vector(F.col("x").cast("array<double>")).alias("v"), "label", "n"))
         own = Trees([_nodes(t._call_java("rootNode")) for t in model.trees], [w / 2 for w in model.treeWeights])
         out.trees += own.trees
         out.weights += own.weights
         whole = Trees(own.trees, [w * 2 for w in own.weights])
-        judged += rest.filter(~F.col("base")).select("kind", whole.probability(x).alias("p"), "label").collect()  # a part of the sample
-    for kind in KINDS:
-        mine = sorted((r for r in judged if r.kind == kind), key=lambda r: -r.p)
-        good = 0.0
-        for n, r in enumerate(mine, 1):
-            good += r.label
-            below = mine[n].p if n < len(mine) else min(r.p, 0.5)
-            if n >= least and good >= precision * n and (below < r.p or n == len(mine)):
-                out.thresholds[kind] = (r.p + below) / 2
+        judged.append(rest.filter(~F.col("base")).select("kind", whole.probability(x).alias("p"), "label", "n"))
+    out.thresholds = thresholds(judged[0].unionByName(judged[1]), precision, least)
     return out
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import pii
 from granary.llm.common import table
@@ -51,3 +52,36 @@ def test_made_spans_stand_where_they_say(spark):
     assert all(r.text[r.start : r.end] == r.text[r.start : r.end].strip() and 0 <= r.start < r.end < len(r.text) for r in rows)
     assert sorted(map(str, pii.injected(cases.docs(spark).withColumnRenamed("doc_id", "id")).collect())) == sorted(map(str, rows))
     assert pii.injected(cases.docs(spark).withColumnRenamed("doc_id", "id").limit(0)).isEmpty()
+
+
+def test_trees_learn_from_all_documents(spark, monkeypatch):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), "id", F.lit("@mail.example.com or "), F.repeat(F.lit("555.123456 or "), 12)).alias("text"))
+    learned, fit = [], pii.GBTClassifier.fit
+
+    def spy(self, rows):
+        learned.append(rows.agg(F.sum("n") if "n" in rows.columns else F.count("*")).first()[0])
+        return fit(self, rows)
+
+    monkeypatch.setattr(pii.GBTClassifier, "fit", spy)
+    pii.fit(docs)
+    made = pii.candidates(pii.injected(docs.withColumnRenamed("doc_id", "id"))).select("id", "start", "end", "spans").collect()
+    assert len(made) == 1000 * pii.EACH
+    assert sum(learned) == 1000 * 13 + sum(not s.base and s.start < r.end and r.start < s.end for r in made for s in r.spans)
+
+
+def test_thresholds_count_all_candidates(spark):
+    rnd, rows = random.Random(3), []
+    for kind, right in (("phone", 0.4), ("email", 0.9), ("card", 1.1)):
+        for _ in range(3000):
+            p = rnd.random()
+            rows.append((kind, p, float(rnd.random() < (p > right) + 0.01), rnd.randrange(1, 40)))
+    got = pii.thresholds(spark.createDataFrame(rows, "kind string, p double, label double, n long"), 0.98, 10)
+    assert set(got) == {"phone", "email"}
+
+    def share(kind, p):
+        taken = [r for r in rows if r[0] == kind and r[1] >= p]
+        return sum(r[2] * r[3] for r in taken) / sum(r[3] for r in taken)
+
+    for kind, t in got.items():
+        lower = {int(r[1] * pii.STEPS) for r in rows if r[0] == kind and r[1] < t}
+        assert share(kind, t) >= 0.98 and all(share(kind, step / pii.STEPS) < 0.98 for step in lower)
