@@ -107,6 +107,72 @@ def test_theta_and_overlap(sides):
         rangejoin.theta_join(points, intervals, "p", "<>", "a")
 
 
+def test_repeated_intervals_are_not_broadcast(spark):
+    few = spark.range(1000).select("id", (F.col("id") % 97).alias("p"))
+    d = rangejoin.theta_join(few, spark.range(50).select(F.col("id").alias("j"), (F.col("id") % 31).alias("a")), "p", "<", "a", "left")
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("closed", [(True, True), (False, True), (True, False), (False, False)])
+def test_totals_are_those_of_the_pairs(spark, sides, closed):
+    points, intervals = sides
+    points = points.select(F.when(F.col("i") % 11 != 0, F.col("i") - 100).alias("i"), "p", F.when(F.col("i") % 4 != 0, F.col("i") % 4).alias("g"))
+    intervals = intervals.select("a", "b", F.when(F.col("j") % 5 != 0, F.col("j") % 5).alias("h"))
+    low = F.col("p") >= F.col("a") if closed[0] else F.col("p") > F.col("a")
+    high = F.col("p") <= F.col("b") if closed[1] else F.col("p") < F.col("b")
+    wanted = [F.count("*").alias("n"), F.count("i").alias("n_i"), F.sum("i").alias("sum_i")]
+    for ends, on in ((("a", "b"), low & high), (("a", None), low), ((None, "b"), high)):
+        pairs = points.join(intervals, on)
+        got = rangejoin.interval_totals(points, intervals, "p", *ends, closed, ["i"], ["g"], ["h"], bins=16)
+        assert rows(got) == rows(pairs.groupBy("h", "g").agg(*wanted))
+    kept = points.join(intervals, low, "right").groupBy("a", "h").agg(F.count("p").alias("n"), *wanted[1:])
+    assert rows(rangejoin.interval_totals(points, intervals, "p", "a", None, closed, ["i"], of=["a", "h"], how="left", bins=16)) == rows(kept)
+
+
+def test_totals_of_odd_tables(spark, sides):
+    points, intervals = sides
+    for p, i in ((points.limit(0), intervals), (points, intervals.limit(0)), (points.filter("p IS NULL"), intervals)):
+        assert rangejoin.interval_totals(p, i, "p", "a", "b", of=["j"], by=["i"]).isEmpty()
+        assert [tuple(r) for r in rangejoin.interval_totals(p, i, "p", "a", None, sums=["i"], of=["j"], how="left").drop("j").distinct().collect()] in ([], [(0, 0, None)])
+    long = 2**63 - 1
+    large = spark.createDataFrame([(1.0, long), (2.0, long), (float("nan"), -long), (-0.0, 5)], "p double, k long")
+    ends = spark.createDataFrame([(1, 0.5, 1.5), (2, 1.5, 3.0), (3, 2.5, float("nan")), (4, 0.0, 0.0)], "j int, a double, b double")
+    got = rangejoin.interval_totals(large, ends, "p", "a", "b", sums=["k"], of=["j"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1, long), (2, 1, 1, long), (3, 1, 1, -long), (4, 1, 1, 5)]
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 2, 2, 3)], "day date")
+    spans = spark.createDataFrame([(dt.date(2024, 1, 1), dt.datetime(2024, 1, 2, 12))], "a date, b timestamp")
+    assert [r.n for r in rangejoin.interval_totals(days, spans, "day", "a", "b", (False, True)).collect()] == [2]
+    for wrong in ({"how": "left", "by": ["p"]}, {"sums": ["p"]}, {"how": "left_anti"}):
+        with pytest.raises(ValueError):
+            rangejoin.interval_totals(large, ends, "p", "a", "b", **wrong)
+    with pytest.raises(ValueError):
+        rangejoin.interval_totals(large, ends, "p", None, None)
+
+
+def most_rows(df):
+    """The largest number of rows that a step of df's plan gives."""
+    df.collect()
+    most, steps = 0, [df._jdf.queryExecution().executedPlan()]
+    while steps:
+        step = steps.pop()
+        kind = step.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            steps.append(step.executedPlan() if kind == "AdaptiveSparkPlanExec" else step.plan())
+            continue
+        made = step.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        steps += [step.children().apply(i) for i in range(step.children().size())]
+    return most
+
+
+def test_counting_queries_make_no_pairs(spark, sf_dir):
+    from granary.plans.queries import QUERIES
+
+    rows_read = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    for name in ("q_theta_join",):
+        assert 0 < most_rows(QUERIES[name](spark, sf_dir)) <= rows_read
+
+
 def test_hot_values_are_spread_over_bins(spark):
     points = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("p"))
     at = bounds_of(points, "p", 32, repeats=True)
