@@ -173,6 +173,23 @@ def test_counting_queries_make_no_pairs(spark, sf_dir):
         assert 0 < most_rows(QUERIES[name](spark, sf_dir)) <= rows_read
 
 
+def test_a_band_of_one_day_makes_no_pairs(spark, tmp_path):
+    from granary.plans.queries import QUERIES
+
+    day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    spark.range(300).select(F.lit("HIGH").alias("o_orderpriority"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(700).select(F.col("id").alias("l_orderkey"), F.lit("F").alias("l_linestatus"), (day + F.expr("INTERVAL 1 HOUR") * (F.col("id") % 24 + 1)).alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = QUERIES["q_band_join"](spark, str(tmp_path))
+    assert [tuple(r) for r in d.collect()] == [("HIGH", "F", 300 * 700, 300 * sum(range(700)))]
+    assert most_rows(d) <= 700
+
+
+def test_times_without_zone_have_quantiles(spark):
+    times = spark.range(1000).select((F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL 1 SECOND") * F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id"))).alias("p"))
+    at = bounds_of(times, "p", 32, repeats=True)
+    assert len(at.values) == 31 and at.values.count("2024-01-01 00:00:07") > 10
+
+
 def test_hot_values_are_spread_over_bins(spark):
     points = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("p"))
     at = bounds_of(points, "p", 32, repeats=True)
