@@ -1,13 +1,15 @@
 """Order keys, OFFSET over any order, ordered lists and joins by inequality against plain Spark and brute force."""
 
+import bisect
 import datetime as dt
 import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from granary.functions.ranges import Order, bounds_of, order_key
+from granary.functions.ranges import Bounds, Order, bounds_of, order_key
 from granary.operators import lists, paging, rangejoin
 
 ROWS = [
@@ -50,6 +52,44 @@ def test_offset_over_any_order(spark):
     assert tied.count() == 200 and tied.exceptAll(df).isEmpty()
 
 
+def test_offset_cuts_equal_rows(spark):
+    data = [("a", 1)] * 5 + [("b", 2)] * 60 + [("c", None)] * 20 + [(None, 3)] * 15
+    df = spark.createDataFrame(data, "s string, i int")
+    order = ["s DESC", "i"]
+    rows = [tuple(r) for r in df.orderBy(*(Order.parse(o).column() for o in order)).collect()]
+    for n, limit in ((0, None), (10, None), (20, 30), (25, 10), (25, 60), (30, 55), (79, 2), (84, 100), (99, 1), (100, 5), (-3, None)):
+        assert [tuple(r) for r in paging.offset_rows(df, order, n, 11, limit).collect()] == rows[max(n, 0) :][:limit]
+    assert paging.offset_rows(df.limit(0), order, 3, 11, 2).isEmpty() and paging.offset_rows(df.limit(0), order, 0).isEmpty()
+
+
+def test_offset_query_with_null_keys(spark, tmp_path):
+    import duckdb
+    from granary.plans.queries import ORACLES, QUERIES
+
+    key = F.when(F.col("id") % 3 != 0, F.col("id"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY") * (F.col("id") % 9)
+    spark.range(4000).select(key.alias("o_orderkey"), F.when(F.col("id") % 100 == 0, None).otherwise("LOW").alias("o_orderpriority"), at.alias("o_orderdate")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = [tuple(r) for r in QUERIES["q_offset_mixed_order"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == con.execute(ORACLES["q_offset_mixed_order"]).fetchall()
+
+
+def test_a_value_that_is_looked_up_is_computed_once(spark):
+    names = spark.range(1000).select(F.concat(F.lit("n"), F.col("id")).alias("s"))
+    for kind, values in (("s", None), ("d", (1.5, 2.5, 2.5, 9.0))):
+        at = bounds_of(names, "s", 20) if values is None else Bounds(tuple(map(str, values)), T.DoubleType())
+        x = F.translate("s", "0123456789", "9876543210") if values is None else F.col("s").substr(2, 9).cast("double") / 2
+        d = names.select("s", at.upto(x).alias("upto"), at.below(x).alias("below"), x.alias("x"))
+        if values is None:
+            assert names.select(at.upto(x))._jdf.queryExecution().optimizedPlan().toString().split(" AS ")[0].count("translate(") == 1
+            values = at.values
+        for r in d.collect():
+            assert (r.upto, r.below) == (bisect.bisect_right(values, r.x), bisect.bisect_left(values, r.x))
+    none = names.limit(1).select(at.upto(F.lit(None).cast("double")), Bounds((), T.StringType()).upto(F.col("s")))
+    assert tuple(none.first()) == (0, 0)
+
+
 def test_lists_of_hot_groups_in_pieces_and_chunks(spark):
     rnd = random.Random(4)
     data = [(rnd.choice(["hot", "hot", "hot", "b", None]), i % 97, rnd.choice([f"v{i}", f"v{i}", None, "same"])) for i in range(800)] + [("nulls", 1, None)]
